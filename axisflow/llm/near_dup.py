@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,9 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize
+from .common import materialize
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 BANDS, ROWS = 40, 5  # at similarity 0.75 all bands of a pair differ with probability 2e-5, less for nearer pairs
 BASE, RATE = 1.1, 20.0  # of the registers' exponential spacing
@@ -25,7 +23,7 @@ MARGIN = 0.2  # about six standard deviations of the estimate at 200 registers
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(6)
     m = BANDS * ROWS
-    return rng.integers(0, 2**63, m, dtype=np.uint64), rng.integers(0, 2**62, m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(0, 2**32, m, dtype=np.uint32), rng.integers(0, 2**31, m, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -36,11 +34,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the whole text's 5-word shingles; of all words, if fewer; nothing without words."""
-    words = WORD.findall((text or "").translate(ASCII_LOWER))
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
         return np.zeros(0, np.uint64)
-    known = {w: xxhash.xxh3_64_intdigest(w.encode()) for w in set(words)}
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    known = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     with np.errstate(over="ignore"):
@@ -55,20 +53,18 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     The register is a falling step function of the least x, and so of the least uniform hash, which is what is kept per element.
     """
     flips, odds = _seeds()
-    least = np.full(len(flips), np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for a in range(0, len(hashes), 1024):
-            least = np.minimum(least, _mix_light((hashes[a : a + 1024, None] ^ flips) * odds).min(0))
-    x = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64 * (1 - 2e-16)) / RATE
+    least = np.full(len(flips), np.iinfo(np.uint32).max, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(short), 128):  # a block stays in the processor's cache
+        h = short[a : a + 128, None] ^ flips
+        h *= odds
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, h.min(0), out=least)
+    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 255).astype(np.uint8)
 
 
-def _mix_light(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h
-
-
 @functools.cache
 def _grid() -> np.ndarray:
     return np.linspace(0.005, 0.995, 100)
