@@ -117,9 +117,9 @@ def from_text(texts: DataFrame, by: list[str], column: str = "text") -> DataFram
     return parts.select(*by, F.split("p", ":")[0].cast("long").alias("start"), F.split("p", ":")[1].cast("long").alias("stop"))
 
 
-def run_lengths(rows: DataFrame, by: list[str], order: str, flag) -> DataFrame:
+def run_lengths(rows: DataFrame, by: list[str], order: list[str], flag) -> DataFrame:
     """Intervals of the 0-based places, in `order`, where `flag` holds."""
-    w = Window.partitionBy(*by).orderBy(order)
+    w = Window.partitionBy(*by).orderBy(*order)
     placed = rows.withColumns({"_at": F.row_number().over(w) - 1, "_on": flag}).where("_on")
     runs = placed.withColumn("_run", F.col("_at") - F.row_number().over(w))
     return runs.groupBy(*by, "_run").agg(F.min("_at").cast("long").alias("start"), (F.max("_at") + 1).cast("long").alias("stop")).drop("_run")

@@ -170,11 +170,12 @@ def rttm_roundtrip(spark, d):
     return rttm.parse_lines(rttm.to_lines(iv, 16_000), 16_000)
 
 
-@query("""WITH p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, l_returnflag = 'N' AS f FROM lineitem),
+@query("""WITH p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_returnflag = 'N' AS f FROM lineitem),
 r AS (SELECT *, pos - row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS run FROM p WHERE f)
 SELECT l_orderkey, min(pos) AS start, max(pos) + 1 AS stop FROM r GROUP BY l_orderkey, run""")
 def run_length_encode(spark, d):
-    return I.run_lengths(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey"], "l_linenumber", F.col("l_returnflag") == "N")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]  # line numbers repeat
+    return I.run_lengths(_t(spark, d, "lineitem").select("l_orderkey", *order, "l_returnflag"), ["l_orderkey"], order, F.col("l_returnflag") == "N")
 
 
 # ---- frames ----
