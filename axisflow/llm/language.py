@@ -2,53 +2,47 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTERS = regex.compile(r"\p{L}+")
-MAX_N, PROFILE = 3, 300
-CACHED_WORDS, CACHED_CHARS = 50_000, 24
+PROFILE = 300
+BITS = 21  # of a code point; a gram is up to three of them in one long
+BLANK = 1  # no letter, and not 0, so that grams of different lengths differ
 
 
-class Grams:
-    """N-grams of 1 to MAX_N characters of words padded with a blank on both sides; frequent words' grams are cached."""
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
 
-    def __init__(self):
-        self.cache: dict[str, list[str]] = {}
 
-    def of_word(self, word: str) -> list[str]:
-        grams = self.cache.get(word)
-        if grams is None:
-            padded = f" {word} "
-            grams = [padded[i : i + n] for n in range(1, MAX_N + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
-            if len(word) <= CACHED_CHARS:
-                if len(self.cache) >= CACHED_WORDS:
-                    self.cache.clear()
-                self.cache[word] = grams
-        return grams
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of 1 to 3 characters, and their counts, over words padded with a blank on both sides."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    points = np.concatenate([[BLANK], np.where(_letters()[points], points, BLANK), [BLANK]])
+    keep = np.ones(len(points), bool)
+    keep[1:] = (points[1:] != BLANK) | (points[:-1] != BLANK)
+    p = points[keep]
+    two = (p[:-1] << BITS) | p[1:]
+    three = (two[:-1] << BITS) | p[2:]
+    codes = np.concatenate([p[p != BLANK], two[two != (BLANK << BITS | BLANK)], three[p[1:-1] != BLANK]])
+    return np.unique(codes, return_counts=True)
 
-    def count(self, text: str) -> Counter:
-        total: Counter = Counter()
-        get = total.get
-        for word, n in Counter(LETTERS.findall(text.lower())).items():
-            for gram in self.of_word(word):
-                total[gram] = get(gram, 0) + n
-        return total
 
-
-def ranked(counts: Counter, size: int) -> list[str]:
+def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """Most frequent first; ties in the order of the grams."""
-    return [g for g, _ in heapq.nsmallest(size, counts.items(), key=lambda x: (-x[1], x[0]))]
+    return codes[np.lexsort((codes, -counts))[:size]]
 
 
-def learn_profiles(training: DataFrame, max_rows: int = 20_000, size: int = PROFILE) -> dict[str, dict[str, int]]:
-    """lang -> gram -> rank from training(doc_id, text, lang).
+def learn_profiles(training: DataFrame, max_rows: int = 20_000, size: int = PROFILE) -> dict[str, np.ndarray]:
+    """lang -> grams in the order of their rank, from training(doc_id, text, lang).
 
     The fit uses a hash sample of about `max_rows` labelled rows (all, if fewer); what reaches the driver is `size`
     grams a language. Rows without text, language or any letter teach nothing.
@@ -59,48 +53,41 @@ def learn_profiles(training: DataFrame, max_rows: int = 20_000, size: int = PROF
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
 
     def tally(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, by_lang = Grams(), {}
         for f in frames:
-            for lang, text in zip(f["lang"], f["text"], strict=True):
-                by_lang.setdefault(lang, Counter()).update(grams.count(text))
-        out = [(lang, g, c) for lang, counts in by_lang.items() for g, c in counts.items()]
-        yield pd.DataFrame(out, columns=["lang", "gram", "n"])
+            for a in range(0, len(f), 500):
+                for lang, g in f.iloc[a : a + 500].groupby("lang"):
+                    codes, counts = grams(" ".join(g["text"]))
+                    yield pd.DataFrame({"lang": lang, "gram": codes, "n": counts})
 
-    counts = rows.select("lang", "text").mapInPandas(tally, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInPandas(tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    profiles: dict[str, dict[str, int]] = {}
+    best: dict[str, list[tuple[int, int]]] = {}
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= size).collect():
-        profiles.setdefault(r.lang, {})[r.gram] = r.rank - 1
-    return profiles
+        best.setdefault(r.lang, []).append((r["rank"], r.gram))
+    return {lang: np.array([g for _, g in sorted(x)], np.int64) for lang, x in best.items()}
 
 
-def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], size: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs(doc_id, text), by the smallest out-of-place distance over whole texts.
 
     A gram missing from a profile costs `size` places. score: 1 - distance / worst distance. Ties go to the alphabetically
     first language. Null texts, texts without a letter and an empty set of profiles give `und` with score 0.
-    Repeated rows give repeated results; other columns are ignored; no shuffle.
+    Repeated rows give repeated results; null ids stay null; other columns are ignored; no shuffle.
     """
     langs = sorted(profiles)
-    shared = docs.sparkSession.sparkContext.broadcast({k: profiles[k] for k in langs})
+    shared = docs.sparkSession.sparkContext.broadcast([(np.sort(profiles[k]), np.argsort(profiles[k])) for k in langs])
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, table = Grams(), shared.value
-
         def predict(text: str | None) -> tuple[str, float]:
-            top = ranked(grams.count(text), size) if text else []
-            if not top or not langs:
+            top = ranked(*grams(text), size) if text else ()
+            if not len(top) or not langs:
                 return "und", 0.0
-            best, least = "und", float("inf")
-            for lang in langs:
-                rank = table[lang].get
-                d = 0
-                for i, g in enumerate(top):
-                    j = rank(g)
-                    d += size if j is None else abs(i - j)
-                if d < least:
-                    best, least = lang, d
-            return best, 1.0 - least / (size * len(top))
+            here, costs = np.arange(len(top)), []
+            for codes, rank in shared.value:
+                at = np.searchsorted(codes, top).clip(0, len(codes) - 1)
+                costs.append(int(np.where(codes[at] == top, np.abs(rank[at] - here), size).sum()))
+            best = int(np.argmin(costs))
+            return langs[best], max(0.0, 1.0 - costs[best] / (size * len(top)))
 
         for f in frames:
             found = [predict(t) for t in f["text"]]
