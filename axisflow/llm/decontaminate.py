@@ -25,6 +25,11 @@ def _winnowed(hashes) -> Column:
     return F.transform(kept, lambda at: F.struct(at.alias("at"), F.get(hashes, at).alias("h")))
 
 
+def _whole(n: int) -> Column:
+    """(n, at, h) of every run of n words, for items shorter than a window."""
+    return F.transform(_grams(F.col("words"), n), lambda h, i: F.struct(F.lit(n).alias("n"), i.cast("int").alias("at"), h.alias("h")))
+
+
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (n, fp, off, w) of items(item_id, text), and the items of each (w, item_id).
 
@@ -61,8 +66,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, broadcast_windows: int
     hashed = words.select("doc_id", "tie", "words", _grams(F.col("words"), GRAM).alias("grams"))
     full = F.when(F.size("grams") >= SPAN, F.transform(_winnowed(F.col("grams")), lambda x: F.struct(F.lit(WINDOW).alias("n"), x["at"].alias("at"), x["h"].alias("h"))))
     prints = [F.coalesce(full, F.array().cast("array<struct<n:int,at:int,h:bigint>>"))]
-    for n in short:
-        prints.append(F.transform(_grams(F.col("words"), n), lambda h, i, n=n: F.struct(F.lit(n).alias("n"), i.cast("int").alias("at"), h.alias("h"))))
+    prints += [_whole(n) for n in short]
     mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("h")))  # one row a document, hit or not
     rows = hashed.select("doc_id", "tie", F.size("words").alias("n_words"), "words", F.explode(F.concat(mark, *prints)).alias("p"))
     rows = rows.select("doc_id", "tie", "n_words", "words", F.col("p.n").alias("pn"), F.col("p.at").alias("at"), F.col("p.h").alias("h"))
