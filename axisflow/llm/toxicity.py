@@ -39,10 +39,11 @@ def grade(toxic, quality):
     return F.when(toxic == 0, 0).when(toxic == 1, F.when(quality == 0, 2).otherwise(1))
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, min_docs: int = 3, steps: int = 400, l2: float = 1e-4) -> Ordinal:
+def fit(labelled: DataFrame, max_rows: int = 20_000, min_docs: int = 3, min_z: float = 4.0, steps: int = 400, l2: float = 1e-4) -> Ordinal:
     """Fits labelled(doc_id, text, grade) by gradient descent on a hash sample of about `max_rows` rows (all, if fewer).
 
-    Rows without a grade teach nothing; words in fewer than `min_docs` sampled documents get no weight. Without two
+    Rows without a grade teach nothing; words in fewer than `min_docs` sampled documents, and
+    words whose share of toxic documents is within `min_z` standard deviations of the whole share, get no weight. Without two
     grades to tell apart, every document gets the lowest one. Only distinct word ids of the bounded sample reach the driver.
     """
     rows = labelled.where(F.col("grade").isNotNull())
@@ -63,7 +64,9 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_docs: int = 3, steps: i
     flat = np.concatenate([np.asarray(w, dtype=object) for w in sample["words"]])
     vocabulary, code, seen = np.unique(flat.astype(str), return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(len(sample)), sample["words"].map(len))
-    frequent = seen >= min_docs
+    share = (y > 0).mean()
+    toxic_docs = np.bincount(code, (y > 0)[doc].astype(float), minlength=len(seen))
+    frequent = (seen >= min_docs) & (np.abs(toxic_docs - seen * share) >= min_z * np.sqrt(seen * share * (1 - share)))
     new = np.cumsum(frequent) - 1
     doc, code, vocabulary = doc[frequent[code]], new[code[frequent[code]]], vocabulary[frequent]
     top = int(y.max())
