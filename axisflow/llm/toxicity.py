@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -44,31 +45,45 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_docs: int = 3, min_z: f
 
     Rows without a grade teach nothing; words in fewer than `min_docs` sampled documents, and
     words whose share of toxic documents is within `min_z` standard deviations of the whole share, get no weight. Without two
-    grades to tell apart, every document gets the lowest one. Only distinct word ids of the bounded sample reach the driver.
+    grades to tell apart, every document gets the lowest one. Words are counted by Spark; the sample's rows reach the
+    driver as the numbers of the few words that can get a weight.
     """
     rows = labelled.where(F.col("grade").isNotNull())
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    rows = materialize(rows.select("text", F.col("grade").cast("int").alias("grade")))  # read three times
+    sizes = rows.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("int")).alias("toxic"), F.countDistinct("grade").alias("grades")).first()
+    if sizes["grades"] < 2:
+        return Ordinal({}, np.array([40.0]))
 
-    def extract(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"grade": f["grade"], "words": [sorted(features(t)) for t in f["text"]]})
-
-    sample = rows.select("doc_id", "text", F.col("grade").cast("int").alias("grade")).mapInPandas(extract, "grade int, words array<string>").toPandas()
-    y = sample["grade"].to_numpy(dtype=int) if len(sample) else np.zeros(0, int)
-    if len(set(y.tolist())) < 2:
-        return Ordinal({}, np.array([40.0]))
-    order = np.lexsort((sample["words"].map(lambda w: " ".join(w[:20])), y))  # the sample's order must not matter
-    sample, y = sample.iloc[order], y[order]
-    flat = np.concatenate([np.asarray(w, dtype=object) for w in sample["words"]])
-    vocabulary, code, seen = np.unique(flat.astype(str), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(sample)), sample["words"].map(len))
-    share = (y > 0).mean()
-    toxic_docs = np.bincount(code, (y > 0)[doc].astype(float), minlength=len(seen))
-    frequent = (seen >= min_docs) & (np.abs(toxic_docs - seen * share) >= min_z * np.sqrt(seen * share * (1 - share)))
-    new = np.cumsum(frequent) - 1
-    doc, code, vocabulary = doc[frequent[code]], new[code[frequent[code]]], vocabulary[frequent]
+            seen, toxic = Counter(), Counter()
+            for text, g in zip(f["text"], f["grade"], strict=True):
+                words = features(text)
+                seen.update(words)
+                if g > 0:
+                    toxic.update(words)
+            yield pd.DataFrame({"word": list(seen), "seen": list(seen.values()), "toxic": [toxic[w] for w in seen]})
+
+    share = sizes["toxic"] / sizes["n"]
+    counts = rows.mapInPandas(tally, "word string, seen long, toxic long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    odd = F.abs(F.col("toxic") - F.col("seen") * share) >= min_z * F.sqrt(F.col("seen") * (share * (1 - share)))
+    vocabulary = sorted(r["word"] for r in counts.where((F.col("seen") >= min_docs) & odd).select("word").collect())
+    place = {w: i for i, w in enumerate(vocabulary)}
+
+    def number(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"grade": f["grade"], "words": [sorted(place[w] for w in features(t) if w in place) for t in f["text"]]})
+
+    sample = rows.mapInPandas(number, "grade int, words array<int>").groupBy("grade", "words").count().collect()
+    sample.sort(key=lambda r: (r["grade"], r["words"]))  # the sample's order must not matter
+    times = np.array([r["count"] for r in sample])
+    y = np.repeat([r["grade"] for r in sample], times)
+    kinds = np.repeat(np.arange(len(sample)), times)
+    words = [np.asarray(sample[i]["words"], dtype=int) for i in kinds]
+    doc, code = np.repeat(np.arange(len(y)), [len(w) for w in words]), np.concatenate(words)
     top = int(y.max())
     target = (y[:, None] > np.arange(top)[None, :]).astype(float)
     share = target.mean(0).clip(1e-4, 1 - 1e-4)
