@@ -98,7 +98,7 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_docs: int = 3, min_z: f
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, cuts = w - step[: len(w)], cuts - step[len(w) :]
         cuts = np.maximum.accumulate(cuts)  # thresholds stay in order
-    return Ordinal(dict(zip(vocabulary.tolist(), w.tolist(), strict=True)), cuts)
+    return Ordinal(dict(zip(vocabulary, w.tolist(), strict=True)), cuts)
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
