@@ -122,14 +122,83 @@ def _with_nullable_ids(rows: DataFrame, run, columns: str) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@functools.lru_cache(maxsize=2)
+def worker_ids(path: str) -> dict[str, bytes]:
+    """Ids of pre-tokens, little-endian; lives as long as the worker process, emptied when it holds CACHE_ENTRIES."""
+    return {}
+
+
+@functools.lru_cache(maxsize=2)
+def leading_blank(path: str) -> np.ndarray:
+    """Which token ids begin with a blank."""
+    library = tokenizer(path)
+    blank = library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
+    out = np.zeros(library.get_vocab_size(), bool)
+    out[[i for t, i in library.get_vocab().items() if t.startswith(blank)]] = True
+    return out
+
+
+class TokenEncoder(TokenCounter):
+    """Ids of whole texts by joining those of their pre-tokens; what the worker's cache lacks is encoded in one batch."""
+
+    def __init__(self, path: str):
+        super().__init__(path, {})
+        self.ids, self.leads = worker_ids(path), leading_blank(path)
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens, and special strings as pieces of their own."""
+        if not self.special or not self.special.search(text):
+            return self.pre_tokens(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*self.pre_tokens(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self.pre_tokens(text[at:])
+
+    def learn(self, new: list[str]) -> None:
+        """Puts the ids of pre-tokens in the cache.
+
+        A blank and letters: many in one text, as each blank begins a pre-token, and a token that begins with a blank begins
+        its ids. All others by themselves.
+        """
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        chunks = [words[a : a + 256] for a in range(0, len(words), 256)]
+        alone = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+        for chunk, e in zip(chunks, self.library.encode_batch_fast(["".join(x) for x in chunks], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, "<u4")
+            at = [*(np.flatnonzero(self.leads[found]) * 4).tolist(), 4 * len(found)]
+            if len(at) != len(chunk) + 1:
+                alone += chunk
+                continue
+            raw = found.tobytes()
+            self.ids.update((p, raw[i:j]) for p, i, j in zip(chunk, at, at[1:], strict=False))
+        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.ids[p] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, lists = self.ids, [self.pieces(t) for t in texts]
+        wanted = set().union(*lists)
+        new = wanted.difference(ids)
+        if len(ids) + len(new) > CACHE_ENTRIES:
+            ids.clear()
+            new = wanted
+        new = list(new)
+        self.learn(new)
+        out = [b"".join(map(ids.__getitem__, x)) for x in lists]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del ids[p]
+        return out
+
+
 def encoder(path: str, end_id: int):
     """Text to ids with the end id, as little-endian unsigned 32-bit values."""
-    library = tokenizer(path)
+    library, end = TokenEncoder(path), np.array([end_id], "<u4").tobytes()
 
     def run(texts: list[str]) -> Iterator[np.ndarray]:
         for a in range(0, len(texts), 64):
-            for e in library.encode_batch_fast(texts[a : a + 64], add_special_tokens=False):
-                yield np.append(np.asarray(e.ids, dtype="<u4"), np.uint32(end_id)).astype("<u4")
+            for ids in library.encode(texts[a : a + 64]):
+                yield np.frombuffer(ids + end, "<u4")
 
     return run
 
