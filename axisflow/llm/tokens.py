@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -18,8 +19,9 @@ from tokenizers import Tokenizer
 TOKENIZER = "byte_bpe_50k.json"
 #: From this character on, the regex library and the tokenizer do not agree on all character classes.
 FIRST_UNSURE = "԰"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 48
+MARKS = ",.;:!?"
 
 
 @functools.lru_cache(maxsize=2)
@@ -30,6 +32,7 @@ def worker_cache(path: str) -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
     return Tokenizer.from_file(path)
 
 
@@ -124,7 +127,7 @@ def _with_nullable_ids(rows: DataFrame, run, columns: str) -> DataFrame:
 
 @functools.lru_cache(maxsize=2)
 def worker_ids(path: str) -> dict[str, bytes]:
-    """Ids of pre-tokens, little-endian; lives as long as the worker process, emptied when it holds CACHE_ENTRIES."""
+    """Ids of chunks, little-endian; lives as long as the worker process, emptied when it holds CACHE_ENTRIES."""
     return {}
 
 
@@ -138,56 +141,84 @@ def leading_blank(path: str) -> np.ndarray:
     return out
 
 
-class TokenEncoder(TokenCounter):
-    """Ids of whole texts by joining those of their pre-tokens; what the worker's cache lacks is encoded in one batch."""
+class TokenEncoder:
+    """Ids of whole texts by joining those of their chunks; what the worker's cache lacks is encoded many at a time.
+
+    A chunk begins at a blank before a character that is no white space. There a pre-token begins, whatever stands around it,
+    so the chunks' ids are the text's. Texts with special strings go to the library whole.
+    """
 
     def __init__(self, path: str):
-        super().__init__(path, {})
-        self.ids, self.leads = worker_ids(path), leading_blank(path)
-
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens, and special strings as pieces of their own."""
-        if not self.special or not self.special.search(text):
-            return self.pre_tokens(text)
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += [*self.pre_tokens(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + self.pre_tokens(text[at:])
+        self.library, self.ids, self.leads = tokenizer(path), worker_ids(path), leading_blank(path)
+        self.tails: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def merged(self, parts: list[str]) -> list[str]:
+        """Parts between single blanks, a longer run of white space kept within one chunk."""
+        out = parts[:1]
+        for p in parts[1:]:
+            if p and not p[0].isspace():
+                out.append(p)
+            else:
+                out[-1] += " " + p
+        return out
 
     def learn(self, new: list[str]) -> None:
-        """Puts the ids of pre-tokens in the cache.
-
-        A blank and letters: many in one text, as each blank begins a pre-token, and a token that begins with a blank begins
-        its ids. All others by themselves.
-        """
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        chunks = [words[a : a + 256] for a in range(0, len(words), 256)]
-        alone = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
-        for chunk, e in zip(chunks, self.library.encode_batch_fast(["".join(x) for x in chunks], add_special_tokens=False), strict=True):
+        """Puts the ids of chunks, each with a blank before it, in the cache: many in one text, cut where a token begins with a blank."""
+        plain = [p for p in new if " " not in p]
+        groups = [plain[a : a + 256] for a in range(0, len(plain), 256)]
+        alone = [p for p in new if " " in p]
+        for group, e in zip(groups, self.library.encode_batch_fast([" " + " ".join(x) for x in groups], add_special_tokens=False), strict=True):
             found = np.array(e.ids, "<u4")
             at = [*(np.flatnonzero(self.leads[found]) * 4).tolist(), 4 * len(found)]
-            if len(at) != len(chunk) + 1:
-                alone += chunk
+            if len(at) != len(group) + 1:
+                alone += group
                 continue
             raw = found.tobytes()
-            self.ids.update((p, raw[i:j]) for p, i, j in zip(chunk, at, at[1:], strict=False))
-        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.ids.update((p, raw[i:j]) for p, i, j in zip(group, at, at[1:], strict=False))
+        for p, e in zip(alone, self.library.encode_batch_fast([" " + p for p in alone], add_special_tokens=False), strict=True):
             self.ids[p] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        ids, lists = self.ids, [self.pieces(t) for t in texts]
-        wanted = set().union(*lists)
-        new = wanted.difference(ids)
-        if len(ids) + len(new) > CACHE_ENTRIES:
-            ids.clear()
-            new = wanted
-        new = list(new)
-        self.learn(new)
-        out = [b"".join(map(ids.__getitem__, x)) for x in lists]
+    def learn_all(self, new: list[str]) -> None:
+        """As learn, but a word with punctuation behind it is put together from both; their border always parts pre-tokens."""
+        ends, words = [], set()
         for p in new:
+            if p[-1] in MARKS and len(p) <= CACHE_CHARS and (w := p.rstrip(MARKS)) and w[-1].isalpha() and w[-1] < FIRST_UNSURE:
+                ends.append((p, w, p[len(w) :]))
+                words.add(w)
+            else:
+                words.add(p)
+        self.learn([w for w in words if w not in self.ids])
+        for p, w, tail in ends:
+            if tail not in self.tails:
+                self.tails[tail] = self.one(tail)
+            self.ids[p] = self.ids[w] + self.tails[tail]
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, whole = self.ids, [any(x in t for x in self.special) for t in texts]
+        lists = [[""] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        known = [list(map(ids.get, x[1:])) for x in lists]
+        wanted: set[str] = set()
+        for i, k in enumerate(known):
+            if None in k:  # parts that begin with white space are never in the cache
+                missed = [p for p, b in zip(lists[i][1:], k, strict=True) if b is None]
+                if any(not p or p[0].isspace() for p in missed):
+                    lists[i] = self.merged(lists[i])
+                    missed = [p for p in lists[i][1:] if p not in ids]
+                wanted.update(missed)
+        # the first chunk has no blank before it
+        first = self.library.encode_batch_fast([t if w else x[0] for t, x, w in zip(texts, lists, whole, strict=True)], add_special_tokens=False)
+        self.learn_all(list(wanted))
+        known = [list(map(ids.__getitem__, x[1:])) if None in k else k for x, k in zip(lists, known, strict=True)]
+        out = [np.array(e.ids, "<u4").tobytes() + b"".join(k) for e, k in zip(first, known, strict=True)]
+        for p in wanted:
             if len(p) > CACHE_CHARS:
                 del ids[p]
+        if len(ids) > CACHE_ENTRIES:
+            ids.clear()
         return out
 
 
@@ -299,10 +330,12 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path:
     """ORC files in ascending doc_id order: doc_id, ids array<int> with the end id.
 
     Rows are range-partitioned and sorted by id before they are encoded, so that sampling the ranges reads no tokens.
+    Small tables get smaller files, two a core, so that all cores encode.
     ORC's integer run-length encoding packs the ids; row indexes and Bloom filters on doc_id serve lookups.
     """
     source = tokenizer_path or public_tokenizers.path(TOKENIZER)
-    files = max(1, -(-docs.count() // docs_per_file))
+    n = docs.count()
+    files = max(1, -(-n // docs_per_file), min(2 * docs.sparkSession.sparkContext.defaultParallelism, n // 1000))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(source, end_id)

@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from axisflow.llm import decontaminate, language, licenses, near_dup, nearest, secrets, tokens, toxicity
 from tests.llm import brute as B
@@ -138,3 +140,12 @@ def test_toxicity(spark):
     new = spark.createDataFrame([(1, "an idiot"), (2, "good words"), (3, None), (4, "")], "doc_id long, text string")
     assert {r.doc_id: r.toxic for r in toxicity.score_toxicity(new, model).collect()} == {1: True, 2: False, 3: False, 4: False}
     assert toxicity.fit(spark.createDataFrame([], "doc_id long, text string, grade int")).weights == {}
+
+
+def test_encoder_equals_library_on_any_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, ours, rnd = Tokenizer.from_file(path), tokens.TokenEncoder(path), random.Random(3)
+    bits = ["a", "word", "Ünï", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", " ", "　", "'s", "don't", "12", ".", "!?", "日本", "क्ष", "😀", "Ġ", "<|endoftext|>", "x" * 60 + ","]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    got = [b for a in range(0, len(texts), 64) for b in ours.encode(texts[a : a + 64])]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
