@@ -10,12 +10,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import materialize
+
 TOKENIZER = "byte_bpe_50k.json"
 #: From this character on, the regex library and the tokenizer do not agree on all character classes.
 FIRST_UNSURE = "԰"
@@ -127,7 +130,7 @@ def _with_nullable_ids(rows: DataFrame, run, columns: str) -> DataFrame:
 
 @functools.lru_cache(maxsize=2)
 def worker_ids(path: str) -> dict[str, bytes]:
-    """Ids of chunks, little-endian; lives as long as the worker process, emptied when it holds CACHE_ENTRIES."""
+    """Ids of chunks, little-endian; lives as long as the worker process, emptied when an encoder finds too many."""
     return {}
 
 
@@ -148,7 +151,8 @@ class TokenEncoder:
     so the chunks' ids are the text's. Texts with special strings go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         self.library, self.ids, self.leads = tokenizer(path), worker_ids(path), leading_blank(path)
         self.tails: dict[str, bytes] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -217,7 +221,7 @@ class TokenEncoder:
         for p in wanted:
             if len(p) > CACHE_CHARS:
                 del ids[p]
-        if len(ids) > CACHE_ENTRIES:
+        if len(ids) > self.entries:
             ids.clear()
         return out
 
@@ -326,7 +330,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer_path: s
 # ---- token-id files ----
 
 
-def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path: str | None = None, docs_per_file: int = 20_000) -> None:
+def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path: str | None = None, docs_per_file: int = 20_000, cache_entries: int = 500_000) -> None:
     """ORC files in ascending doc_id order: doc_id, ids array<int> with the end id.
 
     Rows are range-partitioned and sorted by id before they are encoded, so that sampling the ranges reads no tokens.
@@ -337,17 +341,20 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path:
     n = docs.count()
     files = max(1, -(-n // docs_per_file), min(2 * docs.sparkSession.sparkContext.defaultParallelism, n // 1000))
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(source, end_id)
-        for f in frames:
-            for a in range(0, len(f), 1000):
-                g = f.iloc[a : a + 1000]
-                yield pd.DataFrame({"doc_id": g["doc_id"], "ids": [x.astype("i4") for x in encode(list(g["text"]))]})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, end = TokenEncoder(source, cache_entries), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                raw = [ids + end for ids in library.encode(part.column("text").to_pylist())]
+                ends = np.cumsum([0, *map(len, raw)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(files, F.asc_nulls_last("doc_id"), tie).sortWithinPartitions(F.asc_nulls_last("doc_id"), tie, "text")
-    encoded = _with_nullable_ids(rows, run, "ids array<int>").select("doc_id", "ids")
+    encoded = rows.mapInArrow(run, "doc_id long, ids array<int>")
     encoded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").orc(path)
 
 
@@ -363,12 +370,16 @@ def token_id_digests(spark, path: str) -> DataFrame:
     Each file is summed in its own window; only one total a file is summed over the files, whose number is bounded by
     the range partitions. Rows with one doc_id keep the files' order (checksum breaks ties within a file).
     """
-    def digest(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "file": f["file"], "n_tokens": [len(x) for x in f["ids"]], "ids_crc32": [zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in f["ids"]]})
-
-    rows = read_token_ids(spark, path).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("_metadata.file_name").alias("file"), "ids")
-    rows = _with_nullable_ids(rows, digest, "file string, n_tokens long, ids_crc32 long")
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            raw, ends = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B"), ids.offsets.to_numpy()
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            sizes = pa.array(np.diff(ends), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), sizes, pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+
+    rows = read_token_ids(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), "ids")
+    rows = materialize(rows.mapInArrow(digest, "doc_id long, file string, n_tokens long, ids_crc32 long"))  # a few bytes a document, read twice
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens")).collect()  # one row a file
     offsets, total = [], 0
     for r in sorted(totals, key=lambda r: r.file):
