@@ -330,7 +330,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer_path: s
 # ---- token-id files ----
 
 
-def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path: str | None = None, docs_per_file: int = 20_000, cache_entries: int = 500_000) -> None:
+def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path: str | None = None, docs_per_file: int = 20_000, cache_entries: int = CACHE_ENTRIES) -> None:
     """ORC files in ascending doc_id order: doc_id, ids array<int> with the end id.
 
     Rows are range-partitioned and sorted by id before they are encoded, so that sampling the ranges reads no tokens.
