@@ -142,6 +142,23 @@ def test_toxicity(spark):
     assert toxicity.fit(spark.createDataFrame([], "doc_id long, text string, grade int")).weights == {}
 
 
+def test_toxicity_of_a_single_telling_word(spark):
+    rnd, insults = random.Random(7), [f"insult{chr(97 + i)}" for i in range(10)]
+    rows = []
+    for i in range(1000):
+        words = [f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(20)]
+        toxic = i % 8 == 0
+        if toxic and i % 16 == 0:  # the others are labelled toxic without any reason
+            words += rnd.sample(insults, rnd.randint(3, 6))
+        rows.append((i, " ".join(words), int(toxic)))
+    rows += [(2000 + i, "copied oddword in every copy", 1) for i in range(9)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, grade int"))
+    assert set(model.weights) == set(insults)  # neither chance nor copies of a text give a word weight
+    new = spark.createDataFrame([(i, f"waa wbb {w} wcc") for i, w in enumerate(insults)] + [(20, "waa wbb wcc"), (21, "an oddword")], "doc_id long, text string")
+    assert {r.doc_id: r.toxic for r in toxicity.score_toxicity(new, model).collect()} == {i: i < 10 for i in [*range(10), 20, 21]}
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(new, model).collect()) == [20, 21]
+
+
 def test_encoder_equals_library_on_any_white_space():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, ours, rnd = Tokenizer.from_file(path), tokens.TokenEncoder(path), random.Random(3)
