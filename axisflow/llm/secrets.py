@@ -37,14 +37,20 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
 def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """(label, s): random base64 and hexadecimal strings made from hashes, and ordinary identifiers in three spellings."""
+    """(label, s): random base64 and hexadecimal strings made from hashes, and ordinary text: identifiers in five spellings,
+    paths, name=value, numbers and ruled lines."""
     parts = F.split(F.lit(" ".join(IDENTIFIER_PARTS)), " ")
     pick = lambda k: F.get(parts, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_PARTS))).cast("int"))
     digest = F.sha2(F.concat(F.lit("axisflow"), F.col("id").cast("string")), 256)
     snake, kebab = F.concat_ws("_", pick(1), pick(2), pick(3)), F.concat_ws("-", pick(4), pick(5), pick(6))
     camel = F.concat(pick(7), F.initcap(pick(8)), F.initcap(pick(9)))
+    path, named = F.concat_ws("/", *map(pick, range(13, 17))), F.concat(pick(17), F.lit("="), pick(18), F.lit("+"), pick(19))
+    upper, heads = F.upper(F.concat_ws("_", pick(20), pick(21), pick(22))), F.concat(*(F.initcap(pick(i)) for i in range(23, 27)))
+    number = F.concat(F.abs(F.xxhash64("id", F.lit(27))).cast("string"), F.lit("-"), F.abs(F.xxhash64("id", F.lit(28))).cast("string"))
+    line = F.repeat(F.get(F.split(F.lit("- = _ + / -= +-"), " "), F.pmod("id", F.lit(7)).cast("int")), 20)
     ids = spark.range(rows)
-    ordinary = ids.select(F.lit("ordinary").alias("label"), F.explode(F.array(snake, kebab, camel, F.concat(pick(10), pick(11), pick(12)))).alias("s"))
+    plain = (snake, kebab, camel, F.concat(pick(10), pick(11), pick(12)), path, named, upper, heads, number, line)
+    ordinary = ids.select(F.lit("ordinary").alias("label"), F.explode(F.array(*plain)).alias("s"))
     random = ids.select(F.lit("random").alias("label"), F.explode(F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.base64(F.unhex(F.substring(digest, 1, 48))), digest)).alias("s"))
     return ordinary.unionByName(random)
 
@@ -90,8 +96,10 @@ def _matches(text: Column, pattern: str, group: int, least: int, kind: str) -> C
 def find_secrets(docs: DataFrame, scores: list[float] | None = None, threshold: float = 0.8) -> DataFrame:
     """The rows of docs with one more column `secret_spans`: array of (start, end, kind), code points, end exclusive, sorted.
 
-    Base kinds are assign, access and hex; `random` are words of at least 20 token characters, with a letter and a digit,
-    whose mean log-likelihood ratio a character pair passes `threshold`, where no base span overlaps them.
+    Base kinds are assign, access and hex. `random` are runs of at least 20 token characters whose mean log-likelihood ratio a
+    character pair passes `threshold`, where no base span overlaps them. In other runs it is the windows of 20 characters, clear
+    of base spans, that pass it, joined and widened to the next of = / + - _, so that text glued to a secret does
+    not hide it; such spans may take in some of that text.
     Whole texts; null or empty texts have no spans; repeated rows give repeated results; other columns stay as they are
     (a column secret_spans of docs is replaced); no shuffle.
     """
@@ -99,21 +107,55 @@ def find_secrets(docs: DataFrame, scores: list[float] | None = None, threshold:
     table = F.from_json(F.lit(json.dumps(scores)), "array<double>")
     text, k = F.coalesce(F.col("text"), F.lit("")), len(ALPHABET)
 
-    def ratio(s: Column) -> Column:
+    def ratios(s: Column) -> Column:
         place = F.transform(F.split(s, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-        pairs = F.zip_with(F.slice(place, 1, F.length(s) - 1), F.slice(place, 2, F.length(s) - 1), lambda a, b: F.get(table, a * k + b))
-        return F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x) / (F.length(s) - 1)
+        return F.zip_with(F.slice(place, 1, F.length(s) - 1), F.slice(place, 2, F.length(s) - 1), lambda a, b: F.get(table, a * k + b))
+
+    def mean(pairs: Column) -> Column:
+        return F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x) / F.size(pairs)
+
+    def let(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), 0)  # so that the value is computed once
 
     base = F.concat(*(_matches(text, p, g, n, kind) for kind, p, g, n in BASE))
     tokens = _matches(text, TOKEN, 1, TOKEN_CHARS, "random")
     found = docs.withColumn("_base", base).withColumn("_tokens", tokens)
 
+    span, at = "array<struct<start:int,end:int,kind:int>>", KINDS.index("random")
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(at).alias("kind"))
+
+    def clear(x: Column) -> Column:
+        return ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    def join(pieces: Column) -> Column:
+        """Sorted spans, those that overlap or touch made one."""
+        state = F.aggregate(
+            pieces, F.struct(F.array().cast(span).alias("done"), F.lit(None).cast(span[6:-1]).alias("last")),
+            lambda t, x: F.when(t["last"].isNull(), F.struct(t["done"].alias("done"), x.alias("last")))
+            .when(x["start"] <= t["last"]["end"], F.struct(t["done"].alias("done"), piece(F.least(t["last"]["start"], x["start"]), F.greatest(t["last"]["end"], x["end"])).alias("last")))
+            .otherwise(F.struct(F.concat(t["done"], F.array(t["last"])).alias("done"), x.alias("last"))))
+        return let(state, lambda t: F.when(t["last"].isNull(), t["done"]).otherwise(F.concat(t["done"], F.array(t["last"]))))
+
+    def parts(x: Column, s: Column, pairs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.length(s) - TOKEN_CHARS), lambda i: mean(F.slice(pairs, i + 1, F.lit(TOKEN_CHARS - 1))) >= threshold)
+        windows = F.filter(F.transform(starts, lambda i: piece(x["start"] + i, x["start"] + i + TOKEN_CHARS)), clear)
+        alnum = lambda r: F.length(F.regexp_extract(r, "^[A-Za-z0-9]*", 0))
+        part = lambda a, b: F.substring(s, a + 1, b - a)
+
+        def wide(w: Column) -> Column:
+            return piece(w["start"] - alnum(F.reverse(part(F.lit(0), w["start"] - x["start"]))), w["end"] + alnum(part(w["end"] - x["start"], F.length(s))))
+
+        return join(F.transform(join(windows), wide))
+
     def random(x: Column) -> Column:
         s = F.substring(text, x["start"] + 1, x["end"] - x["start"])
-        alone = ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return alone & s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (ratio(s) >= threshold)
+        judge = lambda run, pairs: F.when(clear(x) & (mean(pairs) >= threshold), F.array(piece(x["start"], x["end"]))).otherwise(parts(x, run, pairs))
+        return let(s, lambda run: let(ratios(run), lambda pairs: judge(run, pairs)))
 
-    spans = F.array_sort(F.concat(F.col("_base"), F.filter("_tokens", random)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    every = F.concat(F.col("_base"), F.flatten(F.transform("_tokens", random)))
+    spans = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     named = F.transform(spans, lambda x: F.struct(x["start"], x["end"], F.get(F.array(*map(F.lit, KINDS)), x["kind"]).alias("kind")))
     return found.withColumn("secret_spans", named).drop("_base", "_tokens")
 

@@ -107,6 +107,20 @@ def test_random_strings(spark):
     assert got == {1: "random:4:28", 2: ""}
 
 
+def test_random_strings_within_longer_runs(spark):
+    key, letters, path = "xK9v2Lq8ZtR4mWb7Yc3NdP5s", "xKqvZLqWZtRjmWbGYcHNdPfsQwTz", "docs/service/account/profile/settings/"
+    plain = ["-" * 40, "=" * 30, "MAX_RETRY_COUNT_PER_TUNNEL", "12345678901234567890", path + "wizard/kitchen", "getHelicopterUmbrellaKnowledge", "2024-01-02-1530-2024-01-03"]
+    hexed = "24be64439e3e49cf46b2"
+    runs = [("client_session_id=" + key, 18, 42), (letters, 0, 28), (path + key, 38, 62), (f"{hexed}/{path}{key}/settings", 59, 83)] + [(p, 0, 0) for p in plain]
+    rows = spark.createDataFrame([(i, f"é see {r} end") for i, (r, _, _) in enumerate(runs)], "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("random")] for r in secrets.secret_digest(secrets.find_secrets(rows)).collect()}
+    for i, (run, a, b) in enumerate(runs):  # a span has the whole secret, and may have text glued to it
+        assert len(got[i]) == (b > 0)
+        assert all(6 <= int(x) <= a + 6 and b + 6 <= int(y) <= len(run) + 6 for x, y in (g.split(":")[1:] for g in got[i]))
+    for r in secrets.redact(secrets.find_secrets(rows)).collect():
+        assert key not in r.text and letters not in r.text and hexed not in r.text
+
+
 def test_licenses(docs):
     for r in licenses.license_digest(licenses.scan_licenses(docs)).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == B.licenses(dict(TEXTS)[r.doc_id])
