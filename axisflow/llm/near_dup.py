@@ -105,7 +105,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, share: int) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # one text a set: that of its smallest doc_id; where that id is repeated, the node tells the right row
-    texts = reps.join(wanted, "node").select("node", "doc_id").join(texts, "doc_id").select("node", "text")
+    texts = reps.join(wanted, "node").select("node", "doc_id", "repeated").join(texts, "doc_id").select("node", "text", "repeated")
+    own = lambda frames: (f.loc[[_node(shingles(t)) == n for n, t in zip(f["node"], f["text"], strict=True)]] for f in frames)
+    several = texts.where("repeated").select("node", "text").mapInPandas(own, "node long, text string").dropDuplicates(["node"])
+    texts = texts.where(~F.col("repeated")).select("node", "text").unionByName(several)
     a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,9 +168,16 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     Null, empty and blank texts have 0 shingles and are their own component; a null doc_id is linked with nothing, with a
     null component_id and kept; rows that repeat a doc_id are judged by their own texts; other columns are ignored.
     """
+    return _judged(docs, share).drop("node", "root")
+
+
+def _judged(docs: DataFrame, share: int) -> DataFrame:
+    """near_duplicates with the node and the root of each row's class."""
     rows = materialize(sketch(docs))
     some = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    reps = materialize(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles")))
+    reps = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles"))
+    several = some.groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"))  # only such a text is checked against its node
+    reps = materialize(reps.join(several, "doc_id"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * ROWS + 1, F.lit(ROWS))))
     members = reps.select("node", F.explode(bands).alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("bucket", "centre")
@@ -188,14 +198,34 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
 
     classes = reps.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component"))
-    of_node = classes.join(least, "root").select("node", "component")
-    out = some.join(of_node, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    rest = rows.where(F.col("node").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_node = classes.join(least, "root").select("node", "component", "root")
+    out = some.join(of_node, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"), "node", "root")
+    rest = rows.where(F.col("node").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.lit(None).cast("long").alias("root"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
-    """The rows of docs that stand for their group, with their columns; null ids stay, and a repeated equal row counts once."""
-    kept = near_duplicates(docs, share).where("kept").select(F.col("doc_id").alias("_kept")).where(F.col("_kept").isNotNull()).distinct()
-    known = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of docs that stand for their group, with their columns; null ids stay, and of rows equal in id and set one stays.
+
+    Rows that repeat an id with different texts are judged each by its own text; where several texts of one group have its least
+    id, the one with the least set hash stays.
+    """
+    known, kept = docs.where(F.col("doc_id").isNotNull()), _judged(docs, share).where("kept").where(F.col("doc_id").isNotNull())
+    # the node of the group's row; groups that share a least id are told apart by the root
+    kept = kept.groupBy("doc_id", "root").agg(F.min("node").alias("_node")).select(F.col("doc_id").alias("_kept"), "_node")
+    times = known.groupBy(F.col("doc_id").cast("long").alias("_kept")).agg((F.count("*") > 1).alias("_repeated"))
+    several = times.join(kept.select("_kept").distinct(), "_kept", "left_semi")
+    rows = known.withColumn("_kept", F.col("doc_id").cast("long")).join(several, "_kept")
+    once = rows.where(~F.col("_repeated")).select(docs.columns)
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        sets = (shingles(t) for t in texts)
+        return pd.Series([_node(s) if len(s) else None for s in sets], dtype="Int64")
+
+    # texts are read a second time only where an id is repeated
+    more = rows.where("_repeated").drop("_repeated").withColumn("_node", node("text"))
+    kept = kept.withColumnsRenamed({"_kept": "_id", "_node": "_own"})
+    more = more.join(kept, (F.col("_kept") == F.col("_id")) & F.col("_node").eqNullSafe(F.col("_own")), "left_semi")
+    more = more.dropDuplicates(["_kept", "_node"]).select(docs.columns)
+    return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull()))
