@@ -83,8 +83,13 @@ class Finder:
         for i, spans in windows.items():
             n, label, _ = self.notices[i]
             for lo, hi in spans:
-                for m in self.match[i].finditer(line, lo, hi):
-                    found.append((m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / len(n)))
+                rest = [(lo, hi)]  # the best match is taken first, then those to its left and right
+                while rest:
+                    lo, hi = rest.pop()
+                    m = self.match[i].search(line, lo, hi)
+                    if m is not None:
+                        found.append((m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / len(n)))
+                        rest += [(lo, m.start()), (m.end(), hi)]
         return sorted(found)
 
 
