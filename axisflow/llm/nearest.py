@@ -40,29 +40,41 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sorted_places(keys: DataFrame) -> DataFrame:
-    """Global place of every row in (curve, key, rep) order: range partitions, their sizes summed, a window in each."""
+    """Place of every row of keys(curve, rep, key) within its curve: range partitions, their sizes summed, a window in each."""
     parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = keys.repartitionByRange(parts, "curve", "key", "rep").withColumn("part", F.spark_partition_id())
-    dealt = materialize(dealt)
-    sizes = sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect())  # one row a partition
-    offsets, total = [], 0
-    for part, n in sizes:
-        offsets.append((part, total))
-        total += n
-    at = keys.sparkSession.createDataFrame(offsets, "part int, before long")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("curve", "key", "rep")) - 1
-    return dealt.join(F.broadcast(at), "part").select("curve", "rep", (F.col("before") + inside).alias("place"))
-
-
-def search(vectors: DataFrame, is_query, k: int = 10, curves: int = 4, dims: int = 8, bits: int = 7, block: int = 128, exact: bool = True, query_batch: int = 50_000, seed: int = 9) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest other rows of vectors(vec_id, embedding) to each row where `is_query` holds.
+    dealt = materialize(keys.repartitionByRange(parts, "curve", "key", "rep").withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r["curve"], r["part"], r["count"]) for r in dealt.groupBy("curve", "part").count().collect())  # a row or two a partition
+    offsets, last, total = [], None, 0
+    for curve, part, n in sizes:
+        total = total if curve == last else 0
+        offsets.append((curve, part, total))
+        last, total = curve, total + n
+    at = keys.sparkSession.createDataFrame(offsets, "curve int, part int, before long")
+    inside = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "rep")) - 1
+    return dealt.join(F.broadcast(at), ["curve", "part"]).select("curve", "rep", (F.col("before") + inside).alias("place"))
+
+
+def _centre(reps: DataFrame, n_dims: int, sample: int = 100_000) -> tuple[np.ndarray, float]:
+    """Mean vector and mean deviation of a component, from a hash sample of about `sample` vectors (all, if fewer)."""
+    n = reps.count()
+    some = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * sample / n)) if n > sample else reps
+    rows = some.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s")).collect()  # a row a component
+    centre = np.zeros(n_dims)
+    centre[[r["i"] for r in rows]] = [r["m"] for r in rows]
+    spread = float(np.sqrt(np.mean([r["s"] for r in rows]))) if rows else 0.0
+    return centre, spread if np.isfinite(spread) and spread > 0 else 1.0
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, curves: int = 16, dims: int = 8, bits: int = 7, block: int = 2048, spare: int = 12, seed: int = 9) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest other rows found, of vectors(vec_id, embedding), for each row where `is_query` holds.
 
     Equal vectors are one representative that keeps its k + 1 smallest ids, which is all that a result can need. Each curve
-    projects on `dims` random axes with a random shift, takes Hilbert keys, range-partitions and numbers the rows, and cuts
-    them into blocks of `block` rows; a query is compared with its own and both neighbouring blocks of every curve. Results
-    of all curves merge and are reranked by Euclidean distance in double precision. With `exact`, the k-th distance
-    found bounds a second pass of the queries, in batches of `query_batch`, over the blocks of the first curve: a block
-    is left out where its centre and radius prove that it holds nothing nearer.
+    projects the centred vectors on `dims` random axes (all, if they have fewer components) with a random shift, takes
+    Hilbert keys, range-partitions and numbers the rows, and cuts them into blocks of `block` rows; a query meets its own and both
+    neighbouring blocks of every curve, and keeps the k + 1 + `spare` nearest of each by single-precision vectors. All curves'
+    findings merge, and the nearest of them are reranked by Euclidean distance in double precision on the original vectors.
+    Up to `block` distinct vectors every candidate is met, and results are exact; beyond, recall depends on the data and
+    grows with `curves` and `block` (figures in the README). The centre comes from a bounded sample; every vector is indexed.
     Vectors that are null, zero, or hold null or non-finite components take no part; nor do null ids and vectors of another
     length than most; repeated rows (equal id and vector) count once; ties go to smaller ids; fewer than k candidates: all.
     An empty table gives no rows; other columns are ignored.
@@ -70,88 +82,67 @@ def search(vectors: DataFrame, is_query, k: int = 10, curves: int = 4, dims: int
     spark = vectors.sparkSession
     v = F.transform("embedding", lambda x: x.cast("double"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(whole)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(whole)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
-        return spark.createDataFrame([], schema)
-    n_dims = length["n"]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n_dims, used = length["n"], min(dims, length["n"])
+    bits = min(bits, 62 // used)
     rows = rows.where(F.size("v") == n_dims).withColumn("rep", F.xxhash64("v"))
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))
     ids = rows.select("rep", "vec_id").distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    reps = materialize(rows.groupBy("rep").agg(F.first("v").alias("v")).join(ids, "rep"))
-    asked = materialize(rows.where(is_query).select("vec_id", "rep").distinct())
+    reps = materialize(rows.groupBy("rep").agg(F.first("v").alias("v"), F.max("asked").alias("asked")).join(ids, "rep"))
+    asked = rows.where("asked").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query_rep")).distinct()
+    centre, spread = _centre(reps, n_dims)
 
     rng = np.random.default_rng(seed)
-    axes = [np.linalg.qr(rng.standard_normal((n_dims, n_dims)))[0][:, :dims] for _ in range(curves)]
-    shifts = rng.random((curves, dims))
-    spread = max(reps.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)))).first()[0], 1e-300)
+    axes = [np.linalg.qr(rng.standard_normal((n_dims, n_dims)))[0][:, :used] for _ in range(curves)]
+    shifts = rng.random((curves, used))
 
     def keys(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = np.stack(f["v"].to_numpy()) / spread if len(f) else np.zeros((0, n_dims))
+            x = (np.stack(f["v"].to_numpy()) - centre) / spread if len(f) else np.zeros((0, n_dims))
             for c in range(curves):
-                low = 3 / np.sqrt(n_dims)  # nearly all projections; the rest go to the border cells
-                cells = ((x @ axes[c] / low + 1 + shifts[c]) / 3 * (1 << bits)).clip(0, (1 << bits) - 1)
+                cells = (((x @ axes[c]) / 3 + 1 + shifts[c]) / 3 * (1 << bits)).clip(0, (1 << bits) - 1)  # three deviations; the rest go to border cells
                 yield pd.DataFrame({"rep": f["rep"], "curve": c, "key": hilbert_keys(cells, bits)})
 
+    def code(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            short = ((np.stack(f["v"].to_numpy()) - centre) / spread).astype("<f4") if len(f) else ()
+            yield pd.DataFrame({"rep": f["rep"], "asked": f["asked"], "least": f["least"], "code": [x.tobytes() for x in short]})
+
     placed = _sorted_places(reps.select("rep", "v").mapInPandas(keys, "rep long, curve int, key long"))
-    placed = materialize(placed.select("curve", "rep", F.floor(F.col("place") / block).alias("block")))
-    near = placed.join(F.broadcast(asked.select("rep").distinct()) if asked.count() <= 100_000 else asked.select("rep").distinct(), "rep")
-    near = near.select("curve", F.col("rep").alias("query_rep"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    pairs = near.join(placed, ["curve", "block"]).select("query_rep", "rep").distinct()
+    codes = reps.select("rep", "v", "asked", F.col("ids")[0].alias("least")).mapInPandas(code, "rep long, asked boolean, least long, code binary")
+    placed = placed.select("curve", "rep", F.floor(F.col("place") / block).cast("int").alias("block")).join(codes, "rep")
+    around = F.when(F.col("asked"), F.array(F.col("block"), F.col("block") - 1, F.col("block") + 1)).otherwise(F.array("block"))
+    dealt = placed.select("curve", "rep", "asked", "least", "code", F.posexplode(around).alias("aside", "block"))
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        there, mine = f[f["aside"] == 0], f[f["asked"]]
+        vector = lambda x: np.frombuffer(b"".join(x["code"]), "<f4").reshape(len(x), n_dims).astype(float)
+        found = []
+        if len(there) and len(mine):
+            x, least, names = vector(there), there["least"].to_numpy(), there["rep"].to_numpy()
+            xx = (x * x).sum(1)
+            keep = min(k + 1 + spare, len(x))
+            for a in range(0, len(mine), 256):
+                part = mine.iloc[a : a + 256]
+                q = vector(part)
+                d = ((q * q).sum(1)[:, None] - 2 * q @ x.T + xx).astype("f4")
+                order = np.lexsort((np.broadcast_to(least, d.shape), d))[:, :keep]
+                found.append(pd.DataFrame({"query_rep": np.repeat(part["rep"].to_numpy(), keep), "rep": names[order.ravel()], "near": np.take_along_axis(d, order, 1).ravel().astype(float)}))
+        return pd.concat(found) if found else pd.DataFrame({"query_rep": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "near": np.zeros(0)})
+
+    met = dealt.groupBy("curve", "block").applyInPandas(meet, "query_rep long, rep long, near double")
+    met = met.groupBy("query_rep", "rep").agg(F.min("near").alias("near"))
+    best = F.row_number().over(Window.partitionBy("query_rep").orderBy("near", "rep"))
+    pairs = materialize(met.withColumn("nth", best).where(F.col("nth") <= 2 * (k + 1 + spare)).select("query_rep", "rep"))
     q = reps.select(F.col("rep").alias("query_rep"), F.col("v").alias("qv"))
     square = F.aggregate(F.zip_with("qv", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
-    scored = pairs.join(q, "query_rep").join(reps, "rep").select("query_rep", "rep", "ids", F.sqrt(square).alias("score"))
-    found = materialize(_best(scored, k))
-    if exact:
-        found = _sweep(found, reps, placed.where("curve = 0"), asked, k, n_dims, query_batch)
-    mine = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query_rep"))
-    each = mine.join(found, "query_rep").select("query_id", F.explode("ids").alias("vec_id"), "score").where(F.col("vec_id") != F.col("query_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    """The k + 1 nearest representatives of each query, its own among them; ties by smallest id."""
-    nth = F.row_number().over(Window.partitionBy("query_rep").orderBy("score", F.col("ids")[0]))
-    return scored.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
-
-
-def _sweep(found: DataFrame, reps: DataFrame, blocks: DataFrame, asked: DataFrame, k: int, n_dims: int, query_batch: int) -> DataFrame:
-    """Whatever lies within the k-th distance found so far, in blocks that may hold it."""
-    spark = reps.sparkSession
-    bound = found.groupBy("query_rep").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
-    queries = materialize(bound.join(reps.select(F.col("rep").alias("query_rep"), F.col("v").alias("qv")), "query_rep"))
-    batches = max(1, -(-queries.count() // query_batch))
-    laid = materialize(reps.join(blocks.select("rep", "block"), "rep").repartition("block").sortWithinPartitions("block"))
-    out = found
-    for b in range(batches):
-        part = queries.where(F.pmod(F.xxhash64("query_rep"), F.lit(batches)) == b).toPandas()
-        if not len(part):
-            continue
-        shared = spark.sparkContext.broadcast((part["query_rep"].to_numpy(), np.stack(part["qv"].to_numpy()), part["bound"].to_numpy()))
-
-        def run(frames: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, qv, bound = shared.value
-            qq = (qv * qv).sum(1)
-            for f in frames:
-                for _, g in f.groupby("block", sort=False):
-                    x = np.stack(g["v"].to_numpy())
-                    centre = x.mean(0)
-                    radius = np.sqrt(((x - centre) ** 2).sum(1)).max()
-                    slack = 1e-9 * (1 + radius)
-                    reach = np.flatnonzero(np.sqrt(((qv - centre) ** 2).sum(1)) - radius <= bound + slack)
-                    if not len(reach):
-                        continue
-                    d2 = qq[reach][:, None] - 2 * qv[reach] @ x.T + (x * x).sum(1)
-                    qi, xi = np.nonzero(d2 <= (bound[reach] ** 2 * (1 + 1e-9) + 1e-9)[:, None])
-                    if not len(qi):
-                        continue
-                    diff = qv[reach[qi]] - x[xi]
-                    yield pd.DataFrame({"query_rep": ids[reach[qi]], "rep": g["rep"].to_numpy()[xi], "ids": g["ids"].to_numpy()[xi], "score": np.sqrt((diff * diff).sum(1))})
-
-        more = laid.mapInPandas(run, "query_rep long, rep long, ids array<long>, score double")
-        out = out.unionByName(more.select(found.columns))
-    # one distance a pair: the passes may differ in the last bit
-    return _best(out.groupBy("query_rep", "rep").agg(F.first("ids").alias("ids"), F.min("score").alias("score")), k)
+    scored = pairs.join(q, "query_rep").join(reps, "rep").select("query_rep", "ids", F.sqrt(square).alias("score"))
+    near = F.row_number().over(Window.partitionBy("query_rep").orderBy("score", F.col("ids")[0]))
+    found = scored.withColumn("nth", near).where(F.col("nth") <= k + 1).drop("nth")
+    # copies of a query share its list; each drops itself
+    lists = found.groupBy("query_rep").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("score"), i.alias("vec_id")))))).alias("near"))
+    each = asked.join(lists, "query_rep").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    return each.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -148,6 +148,29 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_of_short_vectors_with_ties_and_few_candidates(spark):
+    rows = [(i, [float(i % 3 - 1), float(i % 2) + 1]) for i in range(12)] + [(0, [-1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, rep string, asked int")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest.search(df, F.col("vec_id") % 5 == 0).collect())
+    x, want = {i: np.array(v) for i, v in rows}, []
+    for q in (0, 5, 10):
+        near = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in x if i != q)[:10]
+        want += [(q, at + 1, i, d) for at, (d, i) in enumerate(near)]
+    assert got == want
+
+
+def test_recall_of_curves_over_several_blocks(spark):
+    x = np.random.default_rng(5).standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.search(df, F.col("vec_id") % 100 == 0, curves=8, block=500).collect()
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 300 and hits >= 0.9 * 300
+
+
 def test_toxicity(spark):
     rows = [(i, f"good words here {i}" + (" idiot" if i % 4 == 0 else ""), 0 if i % 4 else 1 + i % 8 // 4) for i in range(80)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, grade int"))
