@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,30 +101,59 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, share: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets have 100 * intersection >= share * union."""
+def _sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n, hashes) of the classes in nodes(node): the whole shingle set, from one text each.
+
+    It is the text of the class's smallest doc_id; where that id is repeated, the hash of the set tells the right row.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one text a set: that of its smallest doc_id; where that id is repeated, the node tells the right row
-    texts = reps.join(wanted, "node").select("node", "doc_id", "repeated").join(texts, "doc_id").select("node", "text", "repeated")
-    own = lambda frames: (f.loc[[_node(shingles(t)) == n for n, t in zip(f["node"], f["text"], strict=True)]] for f in frames)
-    several = texts.where("repeated").select("node", "text").mapInPandas(own, "node long, text string").dropDuplicates(["node"])
-    texts = texts.where(~F.col("repeated")).select("node", "text").unionByName(several)
-    a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    texts = reps.join(nodes, "node").select("node", "doc_id", "repeated").join(texts, "doc_id").select("node", "text", "repeated")
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last = None, None
-        for f in frames:
-            keep = []
-            for na, nb, ta, tb in zip(f["a"], f["b"], f["text_a"], f["text_b"], strict=True):
-                if na != last_key:
-                    last_key, last = na, shingles(ta)
-                other = shingles(tb)
-                both = len(np.intersect1d(last, other, assume_unique=True))
-                keep.append(_node(last) == na and _node(other) == nb and 100 * both >= share * (len(last) + len(other) - both))
-            yield f.loc[keep, ["a", "b"]]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [(n, s) for n, t in zip(part.column("node").to_pylist(), part.column("text").to_pylist(), strict=True) if _node(s := shingles(t)) == n]
+                sets = [s.view(np.int64) for _, s in found]
+                ends = np.cumsum([0, *map(len, sets)])
+                values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["node", "n", "hashes"])
+
+    form = "node long, n long, hashes array<long>"
+    several = texts.where("repeated").select("node", "text").mapInArrow(run, form).dropDuplicates(["node"])
+    return texts.where(~F.col("repeated")).select("node", "text").mapInArrow(run, form).unionByName(several)
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets have 100 * intersection >= share * union."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"hashes_{x}"))
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").where((100 + share) * both >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """All pairs (a, b) of nodes(node, root) with different roots that may reach the similarity: an exact set-similarity join.
+
+    Shingles are put in one order: those that only one component has, which match nothing, then the others, rare ones first.
+    Two sets that are similar enough have their first common shingle so early in both that what follows it can still fill
+    the intersection; that bounds the prefix that is joined and the place of the match. In texts made from one template the
+    few changed words fill the prefix, so that the template itself is not joined. Of each shingle's rows only those
+    outside its most frequent component meet all its rows: members of one component are never paired.
+    """
+    tokens = nodes.join(sets, "node").select("node", "root", "n", F.explode("hashes").alias("s"))
+    shared = materialize(tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "df"))
+    own = tokens.join(shared, "s").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("known"))
+    first = (F.col("n") - F.size("known")).alias("first")
+    placed = own.select("node", "root", "n", first, F.posexplode("known").alias("at", "x"))
+    places = placed.select(F.col("x.s").alias("s"), "node", "root", F.col("n"), (F.col("n") - F.col("first") - F.col("at")).alias("left"))
+    places = materialize(places.where(100 * F.col("left") >= share * F.col("n")))
+    main = places.groupBy("s", "root").count().groupBy("s").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    main = materialize(main.select("s", "main"))
+    odd = places.join(main, "s").where("root <> main").select("s", "main", *(F.col(c).alias(f"{c}_1") for c in ("node", "root", "n", "left")))
+    odd, every = materialize(odd), places.join(main.select("s"), "s", "left_semi")
+    once = (F.col("root") == F.col("main")) | (F.col("node_1") < F.col("node"))
+    fits = (100 + share) * F.least("left_1", "left") >= share * (F.col("n_1") + F.col("n"))
+    return odd.join(every, "s").where((F.col("root_1") != F.col("root")) & once & fits).select(F.least("node_1", "node").alias("a"), F.greatest("node_1", "node").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, share: int) -> DataFrame:
@@ -142,31 +172,54 @@ def _likely(pairs: DataFrame, reps: DataFrame, share: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges(a, b), root the least node reached; large-star and small-star by grouped minima."""
+    """(node, root) of every node of edges(a, b), root the least node reached; large-star and small-star by grouped minima.
+
+    The minima are written before they are joined, so that Spark can split the rows of a node with very many edges.
+    """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
     while True:
+        # finished when every node has one edge down, and what it leads to has none
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down")))).alias("e"))
+        ends = ends.groupBy("e.x").agg(F.sum("e.down").alias("down"), F.count("*").alias("all"))
+        if ends.where("down > 1 OR down > 0 AND down < all").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.toDF("u", "v")).where("u <> v").distinct()
         edges = materialize(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+
+
+def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
+    """of(node, root) after links (a, b) between its nodes; the roots alone are joined anew."""
+    root = lambda x: of.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    links = materialize(links)
+    if links.isEmpty():
+        return of
+    between = links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    new = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return materialize(of.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+
+
+def _mixed(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(bucket, node, root) of the buckets whose members are in several components."""
+    placed = members.join(of, "node")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    return materialize(placed.join(mixed, "bucket").select("bucket", "node", "root"))
 
 
 def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text): documents linked at share % similarity.
 
     Rows with equal sets are one class. Classes that agree in a band of registers are candidates. First each class of a bucket is
-    compared with the bucket's least class, which links large groups in one round with as many pairs as members. Only
-    buckets whose members are then still in several components are compared across components, pair by pair, so nothing is
-    capped. Candidates pass the likelihood estimate and are verified on whole sets.
+    compared with the bucket's least class, then the classes outside the bucket's best-linked component with the class that has most
+    links: as many pairs as members. What then still shares a bucket across components is settled by an exact
+    set-similarity join of prefixes, so nothing is capped and no group is paired as a whole. Candidates of the first two rounds
+    pass the likelihood estimate; all are verified on whole sets.
     Null, empty and blank texts have 0 shingles and are their own component; a null doc_id is linked with nothing, with a
-    null component_id and kept; rows that repeat a doc_id are judged by their own texts; other columns are ignored.
+    null component_id and kept; rows that repeat a doc_id are judged by their own texts; other columns are ignored; an empty
+    table gives no rows.
     """
     return _judged(docs, share).drop("node", "root")
 
@@ -182,22 +235,25 @@ def _judged(docs: DataFrame, share: int) -> DataFrame:
     members = reps.select("node", F.explode(bands).alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("bucket", "centre")
     crowded = materialize(members.join(centres, "bucket"))
+    nodes = crowded.select("node").distinct()
+    sets = materialize(_sets(nodes, reps, docs))
+
     star = crowded.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_verified(materialize(_likely(star, reps, share)), reps, docs, share))
-    found = components(links)
-
-    left = crowded.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    left = materialize(left)
-    mixed = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    left = materialize(left.join(mixed, "bucket"))
-    one, two = left.toDF("bucket", "a", "root_a"), left.toDF("bucket", "b", "root_b")
-    across = one.join(two, "bucket").where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    more = _verified(materialize(_likely(across, reps, share)), reps, docs, share)
-    found = materialize(components(links.unionByName(more)))
-
-    classes = reps.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("component"))
+    links = materialize(_verified(_likely(star, reps, share), sets, share))
+    of = _merged(materialize(nodes.withColumn("root", F.col("node"))), links)
+
+    left = _mixed(crowded.select("bucket", "node"), of)
+    if not left.isEmpty():
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        ranked = left.join(degree, "node", "left").withColumn("best", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("node").alias("hub"), F.col("root").alias("main")))
+        hubs = materialize(ranked.groupBy("bucket").agg(F.max("best").alias("best")).select("bucket", "best.hub", "best.main"))
+        more = left.join(hubs, "bucket").where("root <> main").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        of = _merged(of, _verified(_likely(more, reps, share), sets, share))
+        open_nodes = materialize(_mixed(left.select("bucket", "node"), of).select("node", "root").distinct())
+        of = _merged(of, _verified(_prefix_pairs(open_nodes, sets, share), sets, share))
+
+    classes = materialize(reps.select("node", "doc_id").join(of, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = materialize(classes.groupBy("root").agg(F.min("doc_id").alias("component")))
     of_node = classes.join(least, "root").select("node", "component", "root")
     out = some.join(of_node, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"), "node", "root")
     rest = rows.where(F.col("node").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.lit(None).cast("long").alias("root"))
