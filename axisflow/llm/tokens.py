@@ -25,6 +25,7 @@ FIRST_UNSURE = "԰"
 CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 48
 MARKS = ",.;:!?"
+BYTES_A_TOKEN = 3  # only an estimate, for the number of shards
 
 
 @functools.lru_cache(maxsize=2)
@@ -82,22 +83,26 @@ class TokenCounter:
         return total
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2000, entries: int = 32_768) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of at most `sample_docs` documents.
+def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 20_000, entries: int = 32_768) -> dict[str, int]:
+    """Lengths of the most frequent pre-tokens of a hash sample of about `sample_docs` texts (all, if fewer), from all parts of the table.
 
-    The table only saves time: any pre-token outside it is encoded, so the sample never changes a count.
+    The table only saves time: any pre-token outside it is encoded, so the sample never changes a count. Pre-tokens are tallied where
+    the texts are read; a task hands on its `entries` most frequent ones, which are added up.
     At most `entries` strings of at most CACHE_CHARS characters, hence a few MB whatever the corpus.
     """
     def tally(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter, seen = TokenCounter(path, {}), Counter()
         for f in frames:
             for text in f["text"]:
-                seen.update(p for p in counter.pre_tokens(text or "") if len(p) <= CACHE_CHARS)
+                seen.update(p for p in counter.pre_tokens(text) if len(p) <= CACHE_CHARS)
         top = seen.most_common(entries)
-        yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
 
-    sample = docs.select("text").where(F.col("text").isNotNull()).limit(sample_docs)
-    rows = sample.mapInPandas(tally, "piece string, n long").orderBy(F.desc("n"), "piece").limit(entries).collect()
+    share = int(1_000_000 * min(1.0, sample_docs / max(docs.count(), 1)))
+    sample = docs.select("text").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share))
+    sums = sample.mapInPandas(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = sums.orderBy(F.desc("n"), "piece").limit(entries).collect()
     counter = TokenCounter(path, {})
     pieces = [r.piece for r in rows]
     return dict(zip(pieces, counter.lengths(pieces), strict=True)) if pieces else {}
@@ -107,7 +112,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text, ...).
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results; a null doc_id stays null;
-    other columns are ignored. No shuffle: one pass over the table with a broadcast of bounded size.
+    other columns are ignored. Texts are never shuffled: one pass with a broadcast of bounded size, after a tally of a sample.
+    An empty table gives no rows.
     """
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
@@ -289,14 +295,16 @@ class BestFit:
 def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, pieces_per_shard: int = 1500, with_ids: bool = False) -> DataFrame:
     """Pieces of every document, placed in windows of at most `window` tokens by best-fit decreasing.
 
-    Documents longer than a window are first cut into full windows. Pieces are dealt by a hash of the piece into shards of
-    about `pieces_per_shard` rows, each packed by itself, so that no task grows with the corpus; a shard's last windows
-    are the only padding that sharding adds. Null text: empty, hence one piece with the end id only. Repeated rows are packed
-    repeatedly; null ids stay null; ties in length go by id, start and checksum. An empty table gives no pieces.
+    Documents longer than a window are first cut into full windows. Pieces are dealt by a hash of the piece and its row into
+    shards of about `pieces_per_shard` pieces, whose number is estimated from the texts' bytes; each shard is packed by itself, so
+    that no task grows with the corpus, and rows that repeat are spread like others. A shard's last windows are the only padding
+    that sharding adds. Null text: empty, hence one piece with the end id only. Repeated rows are packed repeatedly; null ids
+    stay null; ties in length go by id, start and checksum. An empty table gives no pieces; other columns are ignored.
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length (window, or the fill where that is a power of two), ids if asked.
     """
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
-    shards = max(1, -(-docs.count() // pieces_per_shard))
+    sizes = docs.select(F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / (BYTES_A_TOKEN * window)).alias("more")).agg(F.count("*").alias("n"), F.sum("more").alias("more")).first()
+    shards = max(1, -(-int(sizes["n"] + (sizes["more"] or 0)) // pieces_per_shard))
     ids_column = ", ids array<int>" if with_ids else ""
 
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,7 +330,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer_path: s
     piece = "start long, length long, ids_crc32 long, doc_tokens long"
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = rows.mapInPandas(cut, f"doc_id string, {piece}{ids_column}")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     packed = pieces.groupBy("shard").applyInPandas(fill, f"doc_id string, {piece}{ids_column}, sequence_id long, offset long, padded_length long")
     return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -331,8 +339,10 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer_path: s
 
 
 def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path: str | None = None, docs_per_file: int = 20_000, cache_entries: int = CACHE_ENTRIES) -> None:
-    """ORC files in ascending doc_id order: doc_id, ids array<int> with the end id.
+    """ORC files in ascending doc_id order: doc_id, ids array<int> with the end id, place (of the row in its file).
 
+    Null or empty texts have the end id only; null ids come last; repeated rows are written repeatedly, those that share an id in
+    the order of their texts' hashes; other columns are not written; an empty table gives no rows.
     Rows are range-partitioned and sorted by id before they are encoded, so that sampling the ranges reads no tokens.
     Small tables get smaller files, two a core, so that all cores encode.
     ORC's integer run-length encoding packs the ids; row indexes and Bloom filters on doc_id serve lookups.
@@ -342,33 +352,34 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path:
     files = max(1, -(-n // docs_per_file), min(2 * docs.sparkSession.sparkContext.defaultParallelism, n // 1000))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, end = TokenEncoder(source, cache_entries), np.array([end_id], "<u4").tobytes()
+        library, end, place = TokenEncoder(source, cache_entries), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
                 raw = [ids + end for ids in library.encode(part.column("text").to_pylist())]
                 ends = np.cumsum([0, *map(len, raw)]) // 4
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(np.arange(place, place + len(raw)))], ["doc_id", "ids", "place"])
+                place += len(raw)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(files, F.asc_nulls_last("doc_id"), tie).sortWithinPartitions(F.asc_nulls_last("doc_id"), tie, "text")
-    encoded = rows.mapInArrow(run, "doc_id long, ids array<int>")
+    encoded = rows.mapInArrow(run, "doc_id long, ids array<int>, place long")
     encoded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").orc(path)
 
 
 def read_token_ids(spark, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """The files' rows; with doc_ids, stripes and row groups are skipped by statistics and Bloom filters."""
-    df = spark.read.schema("doc_id long, ids array<int>").orc(path)
+    df = spark.read.schema("doc_id long, ids array<int>, place long").orc(path)
     return df if doc_ids is None else df.where(F.col("doc_id").isin(list(doc_ids)))
 
 
 def token_id_digests(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row in the files; start counts the ids of all rows before it.
 
-    Each file is summed in its own window; only one total a file is summed over the files, whose number is bounded by
-    the range partitions. Rows with one doc_id keep the files' order (checksum breaks ties within a file).
+    Each file is summed in its own window, in the order of its rows; only one total a file is summed over the files, by their
+    part numbers, and their number is bounded by the range partitions. Null ids stay null; no files' rows: no rows.
     """
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,17 +387,17 @@ def token_id_digests(spark, path: str) -> DataFrame:
             raw, ends = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B"), ids.offsets.to_numpy()
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             sizes = pa.array(np.diff(ends), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), sizes, pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), batch.column("place"), sizes, pa.array(crc, pa.int64())], ["doc_id", "file", "place", "n_tokens", "ids_crc32"])
 
-    rows = read_token_ids(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), "ids")
-    rows = materialize(rows.mapInArrow(digest, "doc_id long, file string, n_tokens long, ids_crc32 long"))  # a few bytes a document, read twice
+    rows = read_token_ids(spark, path).select("doc_id", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("file"), "place", "ids")
+    rows = materialize(rows.mapInArrow(digest, "doc_id long, file long, place long, n_tokens long, ids_crc32 long"))  # a few bytes a document, read twice
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens")).collect()  # one row a file
     offsets, total = [], 0
     for r in sorted(totals, key=lambda r: r.file):
         offsets.append((r.file, total))
         total += r.file_tokens
-    order = Window.partitionBy("file").orderBy(F.asc_nulls_last("doc_id"), "ids_crc32", "n_tokens")
+    order = Window.partitionBy("file").orderBy("place")
     inside = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    at = spark.createDataFrame(offsets, "file string, file_start long")
+    at = spark.createDataFrame(offsets, "file long, file_start long")
     joined = rows.join(F.broadcast(at) if len(offsets) <= 100_000 else at, "file")
     return joined.select("doc_id", (F.col("file_start") + F.coalesce(inside, F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
