@@ -19,18 +19,33 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor shares; a local one only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="axisflow-")
+    """A new folder under spark.checkpoint.dir, which every executor shares; a local one only where it is unset in local mode."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="axisflow-")
     return f"{base.rstrip('/')}/axisflow-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, order: str | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, so that lost executors cost no recomputation."""
     spark, path = df.sparkSession, work_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of df needs."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def words_column(text):
     """Lower-cased ASCII letters; maximal runs of digits, letters and non-ASCII characters. Null: no words."""
     parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NON_WORD)

@@ -8,12 +8,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The base patterns by kind, in the order in which kinds are listed, and the least length that counts.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run below the least length cannot hold a longer match, so both ask for the least length at once: far fewer matches to sift.
 ACCESS, HEX = r"(AKIA[A-Z0-9]{14,})", r"([0-9a-f]{16,})"
 BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 1, 18), ("hex", HEX, 1, 16))
 KINDS = ("assign", "access", "hex", "random")
+SPANS = "array<struct<start:int,end:int,kind:int>>"
+CHUNK = 64
 TOKEN, TOKEN_CHARS = r"([A-Za-z0-9+/_=-]{20,})", 20
 
 #: Parts from which ordinary identifiers are labelled samples, in pairs and threes.
@@ -74,23 +78,43 @@ def learn_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [round(log_p("random", a, b) - log_p("ordinary", a, b), 4) for a in ALPHABET for b in ALPHABET]
 
 
-def _matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
+def _let(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), 0)  # so that the value is computed once
+
+
+def _chunks(array: Column) -> Column:
+    """The array in parts of CHUNK elements; none, if it is empty."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(array), F.lit(CHUNK)), lambda i: i < F.size(array)), lambda i: F.slice(array, i + 1, F.lit(CHUNK)))
+
+
+def _matches(text: Column, pattern: str, group: int, least: int, kind: str, with_text: bool = False) -> Column:
     """Spans of the matches of a pattern whose group has the least length, in code points.
 
-    What stands between matches, by split, gives the places; split and extraction walk the text in the same way.
+    What stands between matches, by split, gives the places; split and extraction walk the text in the same way. Lengths are
+    summed by chunks, then within each, so that the work does not grow with the square of the matches.
     """
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = F.transform(whole, F.char_length)
     groups = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length)
-    rows = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), groups.alias("group"))
-    span = "array<struct<start:int,end:int,kind:int>>"
-    at = KINDS.index(kind)
-    state = F.aggregate(
-        rows, F.struct(F.lit(0).alias("to"), F.array().cast(span).alias("found")),
-        lambda s, x: F.struct(
-            (s["to"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("to"),
-            F.when(x["group"] >= least, F.concat(s["found"], F.array(F.struct((s["to"] + x["gap"]).alias("start"), (s["to"] + x["gap"] + x["size"]).alias("end"), F.lit(at).alias("kind"))))).otherwise(s["found"]).alias("found")))
-    return F.when(text.rlike(pattern), state["found"]).otherwise(F.array().cast(span))
+    more = [whole.alias("s")] if with_text else []
+    extra = lambda x: [x["s"].alias("s")] if with_text else []
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), groups.alias("group"), *more), lambda x: x["size"].isNotNull())
+    total = lambda part: F.aggregate(part, F.lit(0), lambda t, x: t + x["gap"] + x["size"])
+
+    def placed(part: Column, before: Column) -> Column:
+        start = lambda x, i: before + total(F.slice(part, F.lit(1), i)) + x["gap"]
+        spans = F.transform(part, lambda x, i: F.struct(start(x, i).alias("start"), x["size"].alias("size"), x["group"].alias("group"), *extra(x)))
+        return F.transform(F.filter(spans, lambda x: x["group"] >= least), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), F.lit(KINDS.index(kind)).alias("kind"), *extra(x)))
+
+    def all_placed(parts: Column) -> Column:
+        sums = F.aggregate(
+            F.transform(parts, total), F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("before")),
+            lambda s, n: F.struct((s["to"] + n).alias("to"), F.concat(s["before"], F.array(s["to"])).alias("before")))
+        zipped = F.arrays_zip(parts.alias("part"), sums["before"].alias("before"))
+        return F.flatten(F.transform(zipped, lambda x: placed(x["part"], x["before"])))
+
+    return F.when(text.rlike(pattern), _let(rows, lambda r: _let(_chunks(r), all_placed))).otherwise(F.array().cast(SPANS.replace("kind:int", "kind:int,s:string") if with_text else SPANS))
 
 
 def find_secrets(docs: DataFrame, scores: list[float] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -114,20 +138,21 @@ def find_secrets(docs: DataFrame, scores: list[float] | None = None, threshold:
     def mean(pairs: Column) -> Column:
         return F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x) / F.size(pairs)
 
-    def let(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), 0)  # so that the value is computed once
+    let = _let
+    of_base, of_parts, of_tokens = fresh(docs, "base_spans", "base_parts", "token_spans")
+    base = F.array_sort(F.concat(*(_matches(text, p, g, n, kind) for kind, p, g, n in BASE)))
+    tokens = _matches(text, TOKEN, 1, TOKEN_CHARS, "random", True)
+    parts_of = F.transform(_chunks(F.col(of_base)), lambda p: F.struct(F.array_min(F.transform(p, lambda b: b["start"])).alias("lo"), F.array_max(F.transform(p, lambda b: b["end"])).alias("hi"), p.alias("part")))
+    found = docs.withColumn(of_base, base).withColumn(of_parts, parts_of).withColumn(of_tokens, tokens)
 
-    base = F.concat(*(_matches(text, p, g, n, kind) for kind, p, g, n in BASE))
-    tokens = _matches(text, TOKEN, 1, TOKEN_CHARS, "random")
-    found = docs.withColumn("_base", base).withColumn("_tokens", tokens)
-
-    span, at = "array<struct<start:int,end:int,kind:int>>", KINDS.index("random")
+    span, at = SPANS, KINDS.index("random")
 
     def piece(start: Column, end: Column) -> Column:
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(at).alias("kind"))
 
     def clear(x: Column) -> Column:
-        return ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        meets = lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+        return ~F.exists(of_parts, lambda p: (p["lo"] < x["end"]) & (x["start"] < p["hi"]) & F.exists(p["part"], meets))
 
     def join(pieces: Column) -> Column:
         """Sorted spans, those that overlap or touch made one."""
@@ -150,17 +175,17 @@ def find_secrets(docs: DataFrame, scores: list[float] | None = None, threshold:
         return join(F.transform(join(windows), wide))
 
     def random(x: Column) -> Column:
-        s = F.substring(text, x["start"] + 1, x["end"] - x["start"])
         judge = lambda run, pairs: F.when(clear(x) & (mean(pairs) >= threshold), F.array(piece(x["start"], x["end"]))).otherwise(parts(x, run, pairs))
-        return let(s, lambda run: let(ratios(run), lambda pairs: judge(run, pairs)))
+        return let(x["s"], lambda run: let(ratios(run), lambda pairs: judge(run, pairs)))
 
-    every = F.concat(F.col("_base"), F.flatten(F.transform("_tokens", random)))
+    every = F.concat(F.col(of_base), F.flatten(F.transform(of_tokens, random)))
     spans = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     named = F.transform(spans, lambda x: F.struct(x["start"], x["end"], F.get(F.array(*map(F.lit, KINDS)), x["kind"]).alias("kind")))
-    return found.withColumn("secret_spans", named).drop("_base", "_tokens")
+    return found.withColumn("secret_spans", named).drop(of_base, of_parts, of_tokens)
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
+    """The contract's columns from find_secrets, a row for each of its rows; without spans the counts are 0 and the texts empty."""
     count = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long")
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select(
@@ -169,14 +194,18 @@ def secret_digest(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Texts with the union of overlapping secret spans replaced by `mark`, n_chars following; the columns of docs."""
+    """Texts with the union of overlapping secret spans replaced by `mark`, n_chars following; the columns of docs.
+
+    Null texts stay null, texts without secrets as they are; repeated rows give repeated results; no rows: none.
+    """
     state = F.aggregate(
         "secret_spans", F.struct(F.lit(0).alias("to"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["to"], x["end"]).alias("to"),
             F.when(x["start"] >= s["to"], F.concat(s["out"], F.substring(F.col("text"), s["to"] + 1, x["start"] - s["to"]), F.lit(mark))).otherwise(s["out"]).alias("out")))
     whole = F.concat(state["out"], F.substring(F.col("text"), state["to"] + 1, F.char_length("text")))
-    clean = found.withColumn("_hit", F.size("secret_spans") > 0).withColumn("text", F.when(F.col("_hit"), whole).otherwise(F.col("text")))
+    hit, = fresh(found, "has_secret")
+    clean = found.withColumn(hit, F.size("secret_spans") > 0).withColumn("text", F.when(F.col(hit), whole).otherwise(F.col("text")))
     if "n_chars" in found.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_hit"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.drop("secret_spans", "_hit")
+        clean = clean.withColumn("n_chars", F.when(F.col(hit), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.drop("secret_spans", hit)
