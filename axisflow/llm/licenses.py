@@ -35,6 +35,9 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 
+#: Words that tell a notice from those of other licences: no edit may touch them.
+TELLING = {"mit": ("mit",), "apache-2.0": ("apache", "2"), "lgpl": ("lesser",), "agpl": ("affero",), "mpl-2.0": ("mozilla", "2"), "cc-by-sa": ("sharealike",)}
+
 
 class Finder:
     """Exact phrases by words; notices with up to `errors` edits (one edit for each 12 characters, 3 at most).
@@ -66,6 +69,11 @@ class Finder:
             found += [(i, label) for i, w in enumerate(words) if w == first and tuple(words[i : i + n]) == phrase]
         return found
 
+    def tells(self, line: str, start: int, end: int, notice: str, label: str) -> bool:
+        """Whether the whole words of the place hold the telling words of the notice unchanged."""
+        whole = line[line.rfind(" ", 0, start) + 1 : (line.find(" ", end) + 1 or len(line) + 1) - 1].split()
+        return all(w in whole for w in TELLING.get(label, ()) if w in notice.split())
+
     def fuzzy(self, line: str) -> list[tuple[int, int, str, float]]:
         """Spans in the normalised line: start, end, label, similarity. Overlapping windows of a notice are searched once."""
         windows: dict[int, list[list[int]]] = {}
@@ -88,7 +96,8 @@ class Finder:
                     lo, hi = rest.pop()
                     m = self.match[i].search(line, lo, hi)
                     if m is not None:
-                        found.append((m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / len(n)))
+                        if self.tells(line, m.start(), m.end(), n, label):
+                            found.append((m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / len(n)))
                         rest += [(lo, m.start()), (m.end(), hi)]
         return sorted(found)
 
