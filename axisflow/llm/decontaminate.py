@@ -48,7 +48,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted as strings), spans [start, end) in words, for every row of docs(doc_id, text).
+    """doc_id, text_hash, n_words, n_hit, item_ids (sorted as strings), spans [start, end) in words, for every row of docs(doc_id, text).
 
     Winnowed fingerprints of documents, each with the words around it, meet those of the benchmark's windows; each meeting is
     extended to the whole window and compared word by word. The benchmark's windows, and the items of each, are broadcast only while
@@ -99,12 +99,23 @@ def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     of_doc = met_items.join(members, "w").groupBy(by).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     of_doc = of_doc.toDF("d2", "t2", "n2", "item_ids")
     both = covered.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tie") == F.col("t2")) & (F.col("n_words") == F.col("n2")), "left")
-    out = both.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time"))
+    out = both.select("doc_id", F.col("tie").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"), "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time"))
     return out.drop("_time")
 
 
-def contamination_digest(found: DataFrame) -> DataFrame:
+def contamination_digest(found: DataFrame, *more: str) -> DataFrame:
     """The contract's columns from find_contamination, a row for each of its rows; a document without words is not contaminated."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *more)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that the contract's rule does not call contaminated, with their columns.
+
+    Each row is judged by its own text, also where ids are repeated or null; null and empty texts stay; an empty table gives no rows.
+    """
+    found = find_contamination(docs, items)
+    bad = contamination_digest(found, "text_hash").where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("own"), F.struct(*docs.columns).alias("row"))  # no name can clash
+    return rows.join(bad, F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left_anti").select("row.*")

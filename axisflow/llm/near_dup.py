@@ -266,13 +266,14 @@ def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
     Rows that repeat an id with different texts are judged each by its own text; where several texts of one group have its least
     id, the one with the least set hash stays.
     """
-    known, kept = docs.where(F.col("doc_id").isNotNull()), _judged(docs, share).where("kept").where(F.col("doc_id").isNotNull())
+    kept = _judged(docs, share).where("kept").where(F.col("doc_id").isNotNull())
     # the node of the group's row; groups that share a least id are told apart by the root
-    kept = kept.groupBy("doc_id", "root").agg(F.min("node").alias("_node")).select(F.col("doc_id").alias("_kept"), "_node")
-    times = known.groupBy(F.col("doc_id").cast("long").alias("_kept")).agg((F.count("*") > 1).alias("_repeated"))
-    several = times.join(kept.select("_kept").distinct(), "_kept", "left_semi")
-    rows = known.withColumn("_kept", F.col("doc_id").cast("long")).join(several, "_kept")
-    once = rows.where(~F.col("_repeated")).select(docs.columns)
+    kept = materialize(kept.groupBy("doc_id", "root").agg(F.min("node").alias("own")).select(F.col("doc_id").alias("id"), "own"))
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))  # no name can clash
+    times = known.groupBy("id").agg((F.count("*") > 1).alias("repeated"))
+    several = times.join(kept.select("id").distinct(), "id", "left_semi")
+    rows = known.join(several, "id")
+    once = rows.where(~F.col("repeated")).select("row.*")
 
     @F.pandas_udf("long")
     def node(texts: pd.Series) -> pd.Series:
@@ -280,8 +281,7 @@ def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
         return pd.Series([_node(s) if len(s) else None for s in sets], dtype="Int64")
 
     # texts are read a second time only where an id is repeated
-    more = rows.where("_repeated").drop("_repeated").withColumn("_node", node("text"))
-    kept = kept.withColumnsRenamed({"_kept": "_id", "_node": "_own"})
-    more = more.join(kept, (F.col("_kept") == F.col("_id")) & F.col("_node").eqNullSafe(F.col("_own")), "left_semi")
-    more = more.dropDuplicates(["_kept", "_node"]).select(docs.columns)
+    more = rows.where("repeated").select("id", "row", node("row.text").alias("node"))
+    more = more.join(kept.withColumnRenamed("id", "wanted"), (F.col("id") == F.col("wanted")) & F.col("node").eqNullSafe(F.col("own")), "left_semi")
+    more = more.dropDuplicates(["id", "node"]).select("row.*")
     return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull()))
