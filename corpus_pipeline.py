@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from axisflow.llm import decontaminate, near_dup, secrets, tokens, toxicity
 from axisflow.llm.common import load, materialize
@@ -20,10 +19,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contract's rule does not call contaminated; null ids stay."""
-    found = decontaminate.contamination_digest(decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """Documents that the contract's rule does not call contaminated; each row is judged by its own text."""
+    return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
