@@ -123,3 +123,108 @@ def run_lengths(rows: DataFrame, by: list[str], order: list[str], flag) -> DataF
     placed = rows.withColumns({"_at": F.row_number().over(w) - 1, "_on": flag}).where("_on")
     runs = placed.withColumn("_run", F.col("_at") - F.row_number().over(w))
     return runs.groupBy(*by, "_run").agg(F.min("_at").cast("long").alias("start"), (F.max("_at") + 1).cast("long").alias("stop")).drop("_run")
+
+
+# ---- with the length of the axis: [0, length) ----
+
+
+def _all(keys: DataFrame, by: list[str], length: int) -> DataFrame:
+    """Ones: the whole axis for every key; zeros are no rows."""
+    return keys.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("start"), F.lit(length).cast("long").alias("stop"))
+
+
+def ones(keys: DataFrame, by: list[str], length: int) -> DataFrame:
+    return _all(keys, by, length)
+
+
+def zeros(keys: DataFrame, by: list[str]) -> DataFrame:
+    return keys.select(*by, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop")).where("start < stop")
+
+
+def invert(iv: DataFrame, by: list[str], length: int, keys: DataFrame | None = None) -> DataFrame:
+    """What iv leaves of [0, length), also for keys that only `keys` has."""
+    return difference(_all(iv if keys is None else keys, by, length), iv, by)
+
+
+COMPARE = {
+    "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: ~a & b, "le": lambda a, b: ~a | b,
+    "gt": lambda a, b: a & ~b, "ge": lambda a, b: a | ~b,
+}
+
+
+def compare(a: DataFrame, b: DataFrame, by: list[str], length: int, how: str) -> DataFrame:
+    """The places of [0, length) where the booleans compare so, for keys of either side; one sweep."""
+    keys = a.select(*by).unionByName(b.select(*by)).distinct()
+    return sweep([_all(keys, by, length), a, b], by, lambda axis, x, y: axis & COMPARE[how](x, y))
+
+
+def mean(iv: DataFrame, by: list[str], length: int) -> DataFrame:
+    """The share of [0, length) that is active."""
+    return total(iv, by).select(*by, (F.col("total") / length).alias("mean"))
+
+
+def contains(points: DataFrame, iv: DataFrame, by: list[str], at: str = "at") -> DataFrame:
+    """points with `inside`: whether an interval of the same key holds the place."""
+    n = normalize(iv, by).select(*(F.col(c).alias(f"_{c}") for c in by), "start", "stop")
+    same = [F.col(c) == F.col(f"_{c}") for c in by]
+    joined = points.join(n, [*same, F.col("start") <= F.col(at), F.col(at) < F.col("stop")], "left")
+    return joined.select(*points.columns, F.col("start").isNotNull().alias("inside"))
+
+
+def dense(iv: DataFrame, by: list[str], length: int) -> DataFrame:
+    """(key.., values): the whole boolean array of each key, pasted from runs."""
+    from .sparse import dense as pasted, from_intervals
+
+    flat = pasted(from_intervals(cut(normalize(iv, by), by, 0, length), by), by, length)
+    return flat.select(*by, F.transform("values", lambda v: v > 0).alias("values"))
+
+
+def assign(iv: DataFrame, by: list[str], start: int, stop: int, value: int | DataFrame) -> DataFrame:
+    """The intervals with [start, stop) set to 1, to 0, or to those of another table, moved to begin at start."""
+    rows = _valid(iv, by)
+    left, right = rows.withColumn("stop", F.least("stop", F.lit(start))), rows.withColumn("start", F.greatest("start", F.lit(stop)))
+    out = left.unionByName(right).where("start < stop")
+    if isinstance(value, DataFrame):
+        out = out.unionByName(shift_pad(cut(value, by, 0, stop - start), by, start))
+    elif value:
+        out = out.unionByName(iv.select(*by).distinct().select(*by, F.lit(start).cast("long").alias("start"), F.lit(stop).cast("long").alias("stop")))
+    return normalize(out, by)
+
+
+def pad(iv: DataFrame, by: list[str], length: int, before: int, after: int) -> tuple[DataFrame, int]:
+    """The intervals and the length after false points were put on both sides."""
+    return shift_pad(iv, by, before), length + before + after
+
+
+def within(iv: DataFrame, by: list[str], length: int) -> DataFrame:
+    """The same intervals; the job fails where one ends behind the axis."""
+    stop = F.when(F.col("stop") > length, F.raise_error(F.lit("an interval ends behind the axis")).cast("long")).otherwise(F.col("stop"))
+    return _valid(iv, by).withColumn("stop", stop)
+
+
+def to_serializable(iv: DataFrame, by: list[str], length: int | None) -> DataFrame:
+    """(key.., text, length), from which from_serializable restores the intervals."""
+    return to_text(iv, by).withColumn("length", F.lit(length).cast("long"))
+
+
+def from_serializable(texts: DataFrame, by: list[str]) -> DataFrame:
+    """(key.., start, stop, length)."""
+    parts = texts.select(*by, "length", F.explode(F.split(F.regexp_replace("text", " ", ""), ",")).alias("p")).where("p <> ''")
+    return parts.select(*by, F.split("p", ":")[0].cast("long").alias("start"), F.split("p", ":")[1].cast("long").alias("stop"), "length")
+
+
+def from_pairs(pairs: DataFrame, by: list[str], length: int, column: str = "pairs") -> DataFrame:
+    """Intervals from arrays of (start, stop); negative bounds count from the end, and bounds stay in [0, length]."""
+    bound = lambda x: F.least(F.greatest(F.when(x < 0, x + length).otherwise(x), F.lit(0)), F.lit(length)).cast("long")
+    each = pairs.select(*by, F.explode(column).alias("p"))
+    return normalize(each.select(*by, bound(F.col("p")[0]).alias("start"), bound(F.col("p")[1]).alias("stop")), by)
+
+
+def union_of_files(parts: list[DataFrame], key: str) -> DataFrame:
+    """The rows of all tables; the job fails where two of them have one key."""
+    rows = None
+    for i, part in enumerate(parts):
+        part = part.withColumn("_part", F.lit(i))
+        rows = part if rows is None else rows.unionByName(part)
+    seen = rows.groupBy(key).agg(F.countDistinct("_part").alias("_parts")).withColumn("_ok", F.assert_true(F.col("_parts") == 1, "a key is in two tables"))
+    return rows.join(seen.where(F.col("_ok").isNull()).select(key), key).drop("_part")

@@ -1,60 +1,201 @@
-"""Short-time spectra over array columns; Fourier transforms run as Arrow UDFs on whole batches."""
+"""Short-time spectra over array columns; Fourier transforms run on whole Arrow buffers."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import on_blocks
 
-def hann(size: int) -> np.ndarray:
-    """Periodic Hann window."""
-    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
 
+def _cosines(*weights: float) -> Callable[[int], np.ndarray]:
+    """Symmetric window that is a sum of cosines."""
+    return lambda n: sum(w * np.cos(2 * np.pi * k * np.arange(n) / max(n - 1, 1)) for k, w in enumerate(weights))
 
-def frames_of(x: np.ndarray, size: int, shift: int, fading: bool = False) -> np.ndarray:
-    if fading:
-        x = np.pad(x, (size - shift, size - shift))
-    n = max(1, -(-(len(x) - size) // shift) + 1)
-    x = np.pad(x, (0, max(0, (n - 1) * shift + size - len(x))))
-    return np.lib.stride_tricks.sliding_window_view(x, size)[::shift][:n]
 
+def _on_centre(shape: Callable[[np.ndarray], np.ndarray]) -> Callable[[int], np.ndarray]:
+    """Symmetric window as a function of the distance from the middle, -1 and 1 at the first and last sample."""
+    return lambda n: shape(np.linspace(-1, 1, n)) if n > 1 else np.ones(n)
 
-def stft_power(x: Column, size: int = 16, shift: int = 4) -> Column:
-    """array<array<double>>: squared magnitudes of size // 2 + 1 bins of each whole Hann-windowed frame."""
-    @F.pandas_udf("array<array<double>>")
-    def run(xs: pd.Series) -> pd.Series:
-        w = hann(size)
-        def one(v):
-            v = np.asarray(v, float)
-            if len(v) < size:
-                return []
-            f = np.lib.stride_tricks.sliding_window_view(v, size)[::shift]
-            return (np.abs(np.fft.rfft(f * w)) ** 2).tolist()
-        return xs.map(one, na_action="ignore")
 
-    return run(x)
+def _parzen(n: int) -> np.ndarray:
+    x = np.abs(2 * np.arange(n) - (n - 1)) / n
+    return np.where(x <= 0.5, 1 - 6 * x**2 + 6 * x**3, 2 * (1 - x) ** 3)
+
+
+#: The coefficients of the usual windows.
+WINDOWS: dict[str, Callable[[int], np.ndarray]] = {
+    "hann": _cosines(0.5, -0.5), "hamming": _cosines(0.54, -0.46), "blackman": _cosines(0.42, -0.5, 0.08),
+    "blackmanharris": _cosines(0.35875, -0.48829, 0.14128, -0.01168),
+    "flattop": _cosines(0.21557895, -0.41663158, 0.277263158, -0.083578947, 0.006947368),
+    "boxcar": np.ones, "bartlett": _on_centre(lambda x: 1 - np.abs(x)), "parzen": _parzen,
+    "triang": lambda n: 1 - np.abs(2 * np.arange(n) - (n - 1)) / (n + n % 2),
+    "cosine": lambda n: np.sin(np.pi * (np.arange(n) + 0.5) / n),
+    "bohman": _on_centre(lambda x: (1 - np.abs(x)) * np.cos(np.pi * np.abs(x)) + np.sin(np.pi * np.abs(x)) / np.pi),
+    "tukey": _on_centre(lambda x: np.where(np.abs(x) <= 0.5, 1.0, 0.5 * (1 + np.cos(np.pi * (2 * np.abs(x) - 1))))),
+}
+
+
+def window(name: str, length: int, symmetric: bool = False) -> np.ndarray:
+    """Periodic form, unless symmetric."""
+    return np.asarray(WINDOWS[name](length), float) if symmetric else np.asarray(WINDOWS[name](length + 1), float)[:-1]
+
+
+def dual_window(w: np.ndarray, shift: int, amplitude: bool = False) -> np.ndarray:
+    """Synthesis window: w (or 1) over the sum of all shifted copies of its square (or of w)."""
+    power, total = (w if amplitude else w * w), np.zeros(len(w))
+    for at in range(0, len(w), shift):
+        total[at:] += power[: len(w) - at]
+        if at:
+            total[: len(w) - at] += power[at:]
+    return (1 if amplitude else w) / total
+
+
+def fading_width(window_length: int, shift: int, fading: str | None) -> tuple[int, int]:
+    """Zeros before and after the signal: `full`, `half` or None."""
+    wide = window_length - shift
+    return {None: (0, 0), "full": (wide, wide), "half": (wide // 2, wide - wide // 2)}[fading]
+
+
+def stft(df: DataFrame, column: str, size: int = 1024, shift: int = 256, window_name: str = "blackman", window_length: int | None = None, fading: str | None = "full", pad: bool = True, symmetric: bool = False) -> DataFrame:
+    """df with `re` and `im`: frames of size // 2 + 1 bins of the real signals in `column`.
+
+    A shorter window is filled with zeros to `size`; the last frame is filled (`pad`) or cut. Empty and null signals
+    have no frames with cutting and no fading, else what the zeros give.
+    """
+    length = window_length or size
+    w, (before, after) = window(window_name, length, symmetric), fading_width(length, shift, fading)
 
+    def run(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = x.shape[1] + before + after
+        frames = max(0, -(-(n - length) // shift) + 1) if pad else max(0, (n - length) // shift + 1)
+        frames = max(frames, 1) if pad else frames
+        x = np.pad(x, ((0, 0), (before, after + max(0, (frames - 1) * shift + length - n))))
+        if not frames:
+            return (np.zeros((len(x), 0, size // 2 + 1)),) * 2
+        seg = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::shift][:, :frames]
+        s = np.fft.rfft(seg * w, size, axis=-1)
+        return s.real, s.imag
+
+    return on_blocks(df, column, run, {"re": 2, "im": 2})
+
+
+def istft(re: Column, im: Column, size: int = 1024, shift: int = 256, window_name: str = "blackman", window_length: int | None = None, fading: str | None = "full", num_samples: int | None = None, symmetric: bool = False) -> Column:
+    """array<double>: overlap-add with the synthesis window, fading taken off, cut to num_samples if given."""
+    length = window_length or size
+    dual, (before, after) = dual_window(window(window_name, length, symmetric), shift), fading_width(length, shift, fading)
 
-def stft_roundtrip(x: Column, size: int = 16, shift: int = 4) -> Column:
-    """Analysis with full fading, then synthesis by overlap-add with the biorthogonal window."""
     @F.pandas_udf("array<double>")
-    def run(xs: pd.Series) -> pd.Series:
-        w = hann(size)
-        dual = w / sum(np.roll(w, k * shift) ** 2 for k in range(size // shift))
-        def one(v):
-            v = np.asarray(v, float)
-            s = np.fft.irfft(np.fft.rfft(frames_of(v, size, shift, True) * w), size) * dual
-            out = np.zeros((len(s) - 1) * shift + size)
-            for i, f in enumerate(s):
-                out[i * shift : i * shift + size] += f
-            return out[size - shift : size - shift + len(v)].tolist()
-        return xs.map(one, na_action="ignore")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            if x is None or y is None:
+                return None
+            if not len(x):
+                return []
+            frames = np.fft.irfft(np.stack(x) + 1j * np.stack(y), size)[:, :length] * dual
+            out = np.zeros((len(frames) - 1) * shift + length)
+            np.add.at(out, (np.arange(len(frames))[:, None] * shift + np.arange(length)).ravel(), frames.ravel())
+            return out[before : len(out) - after][:num_samples].tolist()
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    return run(re, im)
+
+
+def power(re: Column, im: Column) -> Column:
+    """Squared magnitudes of frames."""
+    return F.zip_with(re, im, lambda a, b: F.zip_with(a, b, lambda x, y: x * x + y * y))
+
+
+def energy_per_frame(spectrogram: Column) -> Column:
+    """Sums over bins; a sum of zero becomes the double's epsilon, so that its logarithm exists."""
+    eps = float(np.finfo(float).eps)
+    return F.transform(spectrogram, lambda f: F.aggregate(f, F.lit(0.0), lambda t, v: t + v, lambda t: F.when(t == 0, eps).otherwise(t)))
+
 
-    return run(x)
+def centre_frequencies(size: int = 1024, sample_rate: int = 16_000) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size // 2)), lambda k: k * (sample_rate / size))
+
+
+def frames_of_samples(samples: Column, size: int, shift: int, pad: bool = True, fading: str | None = None) -> Column:
+    n = samples + sum(fading_width(size, shift, fading))
+    return F.floor((n - size + shift + (shift - 1 if pad else 0)) / shift).cast("long")
+
+
+def samples_of_frames(frames: Column, size: int, shift: int, fading: str | None = None) -> Column:
+    return (frames * shift + size - shift - sum(fading_width(size, shift, fading))).cast("long")
+
+
+def frame_of_sample(sample: Column, window_length: int, shift: int, fading: str | None = "full") -> Column:
+    """The frame whose middle is nearest, not below 0."""
+    at = sample + fading_width(window_length, shift, fading)[0] - (window_length - shift) // 2
+    return F.greatest(F.floor(at / shift), F.lit(0)).cast("long")
+
+
+def sample_of_frame(frame: Column, window_length: int, shift: int, fading: str | None = "full", mode: str = "center") -> Column:
+    """First, middle or last sample of a frame, not below 0."""
+    inside = {"first": 0, "center": window_length // 2, "last": window_length - 1}[mode]
+    return F.greatest(frame * shift - sum(fading_width(window_length, shift, fading)) // 2 + inside, F.lit(0)).cast("long")
+
+
+def to_baseband(re: Column, im: Column, size: int, shift: int) -> tuple[Column, Column]:
+    """Each bin f of frame t turned by -2 pi t f shift / size."""
+    def part(use):
+        turn = lambda t, f: t * f * (-2 * math.pi * shift / size)
+        return F.transform(F.arrays_zip(re.alias("a"), im.alias("b")), lambda x, t: F.transform(F.arrays_zip(x["a"].alias("p"), x["b"].alias("q")), lambda z, f: use(z["p"], z["q"], turn(t, f))))
+
+    return part(lambda p, q, w: p * F.cos(w) - q * F.sin(w)), part(lambda p, q, w: p * F.sin(w) + q * F.cos(w))
+
+
+def phase_features(df: DataFrame, size: int, shift: int) -> DataFrame:
+    """df(re, im) with `phase`, its wrapped difference over frames `phase_delta`, and the difference of that; first frames 0."""
+    from axisflow.functions.vectors import wrap_angle
+
+    a, b = to_baseband(F.col("re"), F.col("im"), size, shift)
+    rows = df.withColumn("phase", F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda p, q: F.atan2(q, p))))
+
+    def steps(x: str, wrapped: bool) -> Column:
+        change = lambda p, q: wrap_angle(q - p) if wrapped else q - p
+        return F.transform(x, lambda f, t: F.when(t == 0, F.transform(f, lambda v: F.lit(0.0))).otherwise(F.zip_with(F.get(x, t - 1), f, change)))
+
+    return rows.withColumn("phase_delta", steps("phase", True)).withColumn("phase_delta2", steps("phase_delta", False))
+
+
+def griffin_lim(df: DataFrame, column: str, size: int = 1024, shift: int = 256, window_name: str = "blackman", iterations: int = 100, alpha: float = 0.0, seed: int = 0) -> DataFrame:
+    """df with `signal`: a signal whose spectrum has nearly the magnitudes of that of `column`, from random phases; alpha > 0 adds momentum."""
+    w = window(window_name, size)
+    dual, wide = dual_window(w, shift), size - shift
+
+    def run(x: np.ndarray) -> tuple[np.ndarray]:
+        n = x.shape[1]
+        frames = max(1, -(-(n + 2 * wide - size) // shift) + 1)
+        total = (frames - 1) * shift + size
+
+        def forward(y: np.ndarray) -> np.ndarray:
+            y = np.pad(y, ((0, 0), (wide, total - wide - y.shape[1])))
+            return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(y, size, axis=1)[:, ::shift] * w, axis=-1)
+
+        def back(s: np.ndarray) -> np.ndarray:
+            parts, y = np.fft.irfft(s, size) * dual, np.zeros((len(s), total))
+            for f in range(frames):
+                y[:, f * shift : f * shift + size] += parts[:, f]
+            return y[:, wide : wide + n]
+
+        loud = np.abs(forward(x))
+        s = loud * np.exp(2j * np.pi * np.random.default_rng(seed).random(loud.shape))
+        last = s
+        for _ in range(iterations):
+            new = forward(back(s))
+            step = new + alpha * (new - last)
+            last, s = new, loud * np.exp(1j * np.angle(step))
+        return (back(s),)
+
+    return on_blocks(df, column, run, {"signal": 1})
 
 
 def dct2(x: Column, n: int) -> Column:
@@ -66,19 +207,34 @@ def dct2(x: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), coefficient)
 
 
-def dtw_cost(a: Column, b: Column) -> Column:
-    """Cost of the cheapest monotone alignment by absolute differences."""
-    @F.pandas_udf("double")
-    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+def dtw(a: Column, b: Column, border: tuple[float, float] = (math.inf, math.inf), penalty: tuple[float, float, float] = (0, 0, 0), weight: tuple[float, float, float] = (1, 1, 1)) -> Column:
+    """struct<cost, path>: the cheapest monotone alignment by absolute differences, with its (i, j) places.
+
+    border: what a step along the edge costs (first row, first column); penalty and weight of the steps (repeat a, match, repeat
+    b), added to and multiplied with what was spent before. Cells are computed along anti-diagonals. Ties: match, then repeat b.
+    """
+    @F.pandas_udf("cost double, path array<struct<i:int,j:int>>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         def one(x, y):
-            last = np.full(len(y) + 1, np.inf)
-            last[0] = 0
-            for v in x:
-                row = np.full(len(y) + 1, np.inf)
-                for j, u in enumerate(y, 1):
-                    row[j] = abs(v - u) + min(last[j], row[j - 1], last[j - 1])
-                last = row
-            return float(last[-1])
-        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype="float64")
+            x, y = np.asarray(x, float), np.asarray(y, float)
+            r, c = len(x), len(y)
+            d = np.full((r + 1, c + 1), np.inf)
+            with np.errstate(invalid="ignore"):
+                d[0, 1:], d[1:, 0], d[0, 0] = np.arange(1, c + 1) * border[0], np.arange(1, r + 1) * border[1], 0
+            for s in range(2, r + c + 1):
+                i = np.arange(max(1, s - c), min(r, s - 1) + 1)
+                j = s - i
+                way = np.minimum(weight[1] * d[i - 1, j - 1] + penalty[1], np.minimum(weight[2] * d[i - 1, j] + penalty[2], weight[0] * d[i, j - 1] + penalty[0]))
+                d[i, j] = np.abs(x[i - 1] - y[j - 1]) + way
+            i, j, path = r, c, []
+            while i > 0 and j > 0:
+                path.append({"i": i - 1, "j": j - 1})
+                ways = (d[i - 1, j - 1] + penalty[1], d[i - 1, j] + penalty[2], d[i, j - 1] + penalty[0])
+                best = ways.index(min(ways))
+                i, j = i - (best != 2), j - (best != 1)
+            return float(d[r, c]), path[::-1]
+
+        rows = [(None, None) if x is None or y is None else one(x, y) for x, y in zip(xs, ys, strict=True)]
+        return pd.DataFrame(rows, columns=["cost", "path"])
 
     return run(a, b)

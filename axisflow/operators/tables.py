@@ -1,8 +1,8 @@
-"""Grouping, nested-data and sparse-segment helpers."""
+"""Grouping, filtering and set tests over tables and arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,19 +29,55 @@ def all_unique(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*((F.count(c) == F.countDistinct(c)).alias(c) for c in columns))
 
 
-def densify(seg: DataFrame, by: list[str], length: int, pad: float = 0.0) -> DataFrame:
-    """Array of `length` from disjoint segments (onset, values), `pad` elsewhere."""
-    cells = seg.select(*by, F.posexplode("values").alias("i", "v"), "onset").select(*by, (F.col("onset") + F.col("i")).alias("at"), F.col("v").cast("double").alias("v"))
-    known = cells.where((F.col("at") >= 0) & (F.col("at") < length)).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("_m"))
-    return known.select(*by, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("long")), F.lit(pad))).alias("values"))
+def query(df: DataFrame, conditions: str | list[str]) -> DataFrame:
+    """Rows that all conditions hold for; that there are none is the caller's to test with isEmpty()."""
+    for condition in [conditions] if isinstance(conditions, str) else conditions:
+        df = df.where(condition)
+    return df
 
 
-def query(df: DataFrame, condition: str) -> DataFrame:
-    """Rows that a condition holds for; a condition that matches none is the caller's to test with isEmpty()."""
-    return df.where(condition)
+def summary(df: DataFrame, columns: list[str], order: list[str], most: int = 3) -> DataFrame:
+    """One row a column: its first `most` distinct values in the order of the rows, as text, and `...` if there are more."""
+    parts = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))
+    rows = df.select(F.struct(*order).alias("at"), F.inline(parts)).groupBy("name", "value").agg(F.min("at").alias("at"))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("at"))
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= most + 1)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("value", F.lit("None")).alias("value")))), lambda x: F.when(x["nth"] <= most, x["value"]).otherwise("..."))
+    return first.groupBy("name").agg(F.array_join(listed, ", ").alias("values"))
 
 
-def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: rows, distinct values, least and greatest as text."""
-    parts = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.countDistinct(c).alias("n_distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most")) for c in columns]
-    return df.agg(F.array(*parts).alias("c")).select(F.inline("c"))
+def distinct_in_order(x: Column) -> Column:
+    """Distinct elements, first seen first."""
+    return F.array_distinct(x)
+
+
+def zip_strict(a: Column, b: Column) -> Column:
+    """Pairs of two arrays; other lengths fail."""
+    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
+    return F.when(F.size(a) == F.size(b), pairs).otherwise(F.raise_error(F.lit("lengths differ")))
+
+
+def interleave(*arrays: Column) -> Column:
+    """One element of each in turn; shorter arrays drop out."""
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), *(F.size(a) - 1 for a in arrays)))
+    pick = lambda i: F.filter(F.array(*(F.struct((i < F.size(a)).alias("has"), F.get(a, i).alias("v")) for a in arrays)), lambda x: x["has"])
+    return F.flatten(F.transform(places, lambda i: F.transform(pick(i), lambda x: x["v"])))
+
+
+def all_equal(x: Column) -> Column:
+    """Exactly one distinct element."""
+    return F.size(F.array_distinct(x)) == 1
+
+
+def all_in(x: Column, y: Column) -> Column:
+    return F.size(F.array_except(x, y)) == 0
+
+
+def any_in(x: Column, y: Column) -> Column:
+    return F.size(F.array_intersect(x, y)) > 0
+
+
+def normalize_mean_variance(df: DataFrame, by: list[str], value: str, out: str, eps: float = 1e-6) -> DataFrame:
+    """df with (value - mean) / (deviation + eps) within each key: moments by partial aggregation and a join, not a window."""
+    moments = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_deviation"))
+    return df.join(moments, by).withColumn(out, (F.col(value) - F.col("_mean")) / (F.col("_deviation") + eps)).drop("_mean", "_deviation")

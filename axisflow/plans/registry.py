@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisflow.functions import vectors as V
-from axisflow.operators import frames, spectral, tables
+from axisflow.operators import features, frames, sparse, spectral, tables
 from axisflow.operators import intervals as I
 from axisflow.sources import rttm
 from axisflow.streaming import windows
@@ -44,6 +44,13 @@ def _vectors(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
+def _segments(spark, sf_dir):
+    """Two segments a vector, at 5 and at 20 to 26; the second may end behind 30."""
+    x = _vectors(spark, sf_dir)
+    first = x.select("vec_id", F.lit(5).cast("long").alias("onset"), F.slice("x", 1, 4).alias("values"))
+    return first.unionByName(x.select("vec_id", (20 + F.col("vec_id") % 7).alias("onset"), F.slice("x", 5, 8).alias("values")))
+
+
 # ---- SQL parts ----
 
 def _raw(name, where="TRUE"):
@@ -181,7 +188,7 @@ def run_length_encode(spark, d):
 # ---- frames ----
 
 def _frames(spark, d, pad):
-    return _vectors(spark, d).select("vec_id", F.posexplode(frames.segment_axis(F.col("x"), 10, 4, pad)).alias("frame", "v")).select("vec_id", "frame", F.posexplode("v").alias("at", "value"))
+    return _vectors(spark, d).select("vec_id", F.posexplode(frames.segment_axis(F.col("x"), 10, 4, "pad" if pad else "cut")).alias("frame", "v")).select("vec_id", "frame", F.posexplode("v").alias("at", "value"))
 
 
 @query(_X + "SELECT vec_id, CAST(f AS INTEGER) AS frame, CAST(k AS INTEGER) AS at, x[f * 4 + k + 1] AS value FROM e, range(14) r(f), range(10) s(k)")
@@ -236,14 +243,14 @@ def preemphasis(spark, d):
     return _each(spark, d, frames.preemphasis)
 
 
-@query(_X + "SELECT vec_id, CAST(i AS INTEGER) AS at, round((x[least(i + 1, 63) + 1] - x[greatest(i - 1, 0) + 1]) / 2e0, 8) AS value FROM e, range(64) r(i)")
+@query(_X + "SELECT vec_id, CAST(i AS INTEGER) AS at, round(sum(k * x[least(greatest(i + k, 0), 63) + 1]) / 60e0, 8) AS value FROM e, range(64) r(i), range(-4, 5) s(k) GROUP BY vec_id, i")
 def delta(spark, d):
-    return _each(spark, d, frames.delta)
+    return _each(spark, d, features.delta)
 
 
 @query(_X + "SELECT vec_id, CAST(i AS INTEGER) AS at, CAST(k AS INTEGER) AS place, CASE WHEN i + k - 2 BETWEEN 0 AND 63 THEN x[i + k - 1] ELSE 0 END AS value FROM e, range(64) r(i), range(4) s(k)")
 def stack_context(spark, d):
-    return _vectors(spark, d).select("vec_id", F.posexplode(frames.stack_context(F.col("x"), 2, 1)).alias("at", "v")).select("vec_id", "at", F.posexplode("v").alias("place", "value"))
+    return _vectors(spark, d).select("vec_id", F.posexplode(frames.context_frames(F.col("x"), 2, 1, mode="constant")).alias("at", "v")).select("vec_id", "at", F.posexplode("v").alias("place", "value")).fillna(0.0, ["value"])
 
 
 # ---- spectra ----
@@ -251,12 +258,15 @@ def stack_context(spark, d):
 @query(_X + """, t AS (SELECT vec_id, f, b, x[f * 4 + k + 1] * (0.5e0 - 0.5e0 * cos(2 * pi() * k / 16)) AS v, 2 * pi() * b * k / 16 AS w FROM e, range(13) q(f), range(9) r(b), range(16) s(k))
 SELECT vec_id, CAST(f AS INTEGER) AS frame, CAST(b AS INTEGER) AS bin, round(pow(sum(v * cos(w)), 2) + pow(sum(v * sin(w)), 2), 6) AS power FROM t GROUP BY vec_id, f, b""")
 def stft_power(spark, d):
-    return _vectors(spark, d).select("vec_id", F.posexplode(spectral.stft_power(F.col("x"))).alias("frame", "p")).select("vec_id", "frame", F.posexplode("p").alias("bin", "power")).withColumn("power", F.round("power", 6))
+    rows = spectral.stft(_vectors(spark, d), "x", 16, 4, "hann", fading=None, pad=False)
+    return rows.select("vec_id", F.posexplode(spectral.power(F.col("re"), F.col("im"))).alias("frame", "p")).select("vec_id", "frame", F.posexplode("p").alias("bin", "power")).withColumn("power", F.round("power", 6))
 
 
 @query(_X + "SELECT vec_id, CAST(i AS INTEGER) AS at, round(x[i + 1], 8) AS value FROM e, range(64) r(i)")
 def stft_roundtrip(spark, d):
-    return _each(spark, d, spectral.stft_roundtrip)
+    rows = spectral.stft(_vectors(spark, d), "x", 16, 4, "hann")
+    back = spectral.istft(F.col("re"), F.col("im"), 16, 4, "hann", num_samples=64)
+    return rows.select("vec_id", back.alias("y")).select("vec_id", F.posexplode("y").alias("at", "value")).withColumn("value", F.round("value", 8))
 
 
 @query(_X + "SELECT vec_id, CAST(k AS INTEGER) AS at, round(sum(x[i + 1] * cos(pi() * k * (2 * i + 1) / 128)) * sqrt((CASE WHEN k = 0 THEN 1e0 ELSE 2e0 END) / 64), 8) AS value FROM e, range(64) r(i), range(8) s(k) GROUP BY vec_id, k")
@@ -264,11 +274,21 @@ def dct_coefficients(spark, d):
     return _each(spark, d, lambda x: spectral.dct2(x, 8))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.vec_id, a.x, b.x AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+r(vec_id, i, j, d) AS (
+  SELECT vec_id, 0, CAST(j AS INTEGER), CASE WHEN j = 0 THEN 0e0 ELSE 1e300 END FROM p, range(65) t(j)
+  UNION ALL
+  SELECT vec_id, i, j, CASE WHEN j = 0 THEN 1e300 ELSE s + min(m - s + c) OVER (PARTITION BY vec_id ORDER BY j ROWS UNBOUNDED PRECEDING) END
+  FROM (SELECT vec_id, i, j, c, CASE WHEN j = 0 THEN 1e300 ELSE m END AS m, sum(c) OVER (PARTITION BY vec_id ORDER BY j ROWS UNBOUNDED PRECEDING) AS s
+        FROM (SELECT r.vec_id, r.i + 1 AS i, r.j, CASE WHEN r.j = 0 THEN 0e0 ELSE abs(p.x[r.i + 1] - p.y[r.j]) END AS c,
+                     least(r.d, coalesce(lag(r.d) OVER (PARTITION BY r.vec_id ORDER BY r.j), 1e300)) AS m
+              FROM r JOIN p USING (vec_id) WHERE r.i < 64)))
+SELECT vec_id, round(d, 6) AS cost FROM r WHERE i = 64 AND j = 64""")
 def dtw_cost(spark, d):
     a = _vectors(spark, d)
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
-    return a.join(b, "vec_id").select("vec_id", F.round(spectral.dtw_cost(F.col("x"), F.col("y")), 8).alias("cost"))
+    return a.join(b, "vec_id").select("vec_id", F.round(spectral.dtw(F.col("x"), F.col("y"))["cost"], 6).alias("cost"))
 
 
 # ---- vectors and scalars ----
@@ -289,15 +309,15 @@ def unit_norm(spark, d):
     return _each(spark, d, V.unit)
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_quantity + pi() - 2 * pi() * floor((l_quantity + pi()) / (2 * pi())) - pi(), 6) AS angle, round(1127 * ln(1 + l_extendedprice / 700e0), 6) AS mel,
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity + pi() - 2 * pi() * floor((l_quantity + pi()) / (2 * pi())) - pi(), 6) AS angle, round(2595 * log10(1 + l_extendedprice / 700e0), 6) AS mel,
 round(atan2(l_tax, l_discount + 1), 6) AS azimuth, round(sqrt(pow(l_discount + 1, 2) + pow(l_tax, 2) + pow(l_quantity, 2)), 6) AS radius FROM lineitem""")
 def scalar_math(spark, d):
     rows = _t(spark, d, "lineitem")
     azimuth, _, radius = V.cart2sph(F.col("l_discount") + 1, F.col("l_tax"), F.col("l_quantity"))
-    return rows.select("l_orderkey", "l_linenumber", F.round(V.wrap_angle(F.col("l_quantity")), 6).alias("angle"), F.round(V.hz_to_mel(F.col("l_extendedprice")), 6).alias("mel"), F.round(azimuth, 6).alias("azimuth"), F.round(radius, 6).alias("radius"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(V.wrap_angle(F.col("l_quantity")), 6).alias("angle"), F.round(features.hz_to_mel(F.col("l_extendedprice")), 6).alias("mel"), F.round(azimuth, 6).alias("azimuth"), F.round(radius, 6).alias("radius"))
 
 
-@query("SELECT DISTINCT p_brand, CAST('0x' || substr(sha256(p_brand), 1, 8) AS BIGINT) AS seed FROM part")
+@query("SELECT DISTINCT p_brand, CAST('0x' || substr(sha256(p_brand), 57, 8) AS BIGINT) AS seed FROM part")
 def str_to_seed(spark, d):
     return _t(spark, d, "part").select("p_brand").distinct().withColumn("seed", V.str_to_seed(F.col("p_brand")))
 
@@ -305,9 +325,7 @@ def str_to_seed(spark, d):
 @query("SELECT l_returnflag, l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER w) / (stddev_pop(l_quantity) OVER w + 1e-6), 6) AS z FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)")
 def normalize_mean_variance(spark, d):
     rows = _t(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
-    # few keys with many rows: moments by partial aggregation and a join, not a window
-    moments = rows.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
-    return rows.join(moments, "l_returnflag").select("l_returnflag", "l_orderkey", "l_linenumber", F.round((F.col("l_quantity") - F.col("m")) / (F.col("s") + 1e-6), 6).alias("z"))
+    return tables.normalize_mean_variance(rows, ["l_returnflag"], "l_quantity", "z").select("l_returnflag", "l_orderkey", "l_linenumber", F.round("z", 6).alias("z"))
 
 
 # ---- tables ----
@@ -333,9 +351,11 @@ def get_by_path(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("SELECT 'p_size' AS name, count(p_size) AS n, count(DISTINCT p_size) AS n_distinct, CAST(min(p_size) AS VARCHAR) AS least, CAST(max(p_size) AS VARCHAR) AS most FROM part UNION ALL SELECT 'p_brand', count(p_brand), count(DISTINCT p_brand), min(p_brand), max(p_brand) FROM part")
+@query("""WITH v AS (SELECT 'p_size' AS name, CAST(p_size AS VARCHAR) AS value, p_partkey FROM part UNION ALL SELECT 'p_brand', p_brand, p_partkey FROM part),
+f AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY min(p_partkey)) AS nth FROM v GROUP BY name, value)
+SELECT name, string_agg(CASE WHEN nth <= 3 THEN value ELSE '...' END, ', ' ORDER BY nth) AS "values" FROM f WHERE nth <= 4 GROUP BY name""")
 def summary_columns(spark, d):
-    return tables.summary(_t(spark, d, "part"), ["p_size", "p_brand"])
+    return tables.summary(_t(spark, d, "part"), ["p_size", "p_brand"], ["p_partkey"])
 
 
 @query("SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
@@ -343,10 +363,9 @@ def filter_query(spark, d):
     return tables.query(_t(spark, d, "orders"), "o_orderstatus = 'F' AND o_totalprice > 100000")
 
 
-@query(_X + "SELECT vec_id, CAST(i AS INTEGER) AS at, CASE WHEN i BETWEEN 5 AND 8 THEN x[i - 4] ELSE -1 END AS value FROM e, range(12) r(i)")
+@query(_X + "SELECT vec_id, CAST(i AS INTEGER) AS at, CASE WHEN i BETWEEN 5 AND 8 THEN x[i - 4] WHEN i BETWEEN 20 + vec_id % 7 AND 27 + vec_id % 7 THEN x[CAST(i - 15 - vec_id % 7 AS INTEGER)] ELSE -1 END AS value FROM e, range(30) r(i)")
 def sparse_densify(spark, d):
-    seg = _vectors(spark, d).select("vec_id", F.lit(5).alias("onset"), F.slice("x", 1, 4).alias("values"))
-    return tables.densify(seg, ["vec_id"], 12, -1.0).select("vec_id", F.posexplode("values").alias("at", "value"))
+    return sparse.dense(_segments(spark, d), ["vec_id"], 30, -1.0).select("vec_id", F.posexplode("values").alias("at", "value"))
 
 
 # ---- event time ----

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from axisflow.plans.registry import ORACLES, QUERIES
+from axisflow.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
