@@ -48,16 +48,15 @@ def stft_half_fading_short_window(spark, d):
 
 
 @query(_X + f""", w AS (SELECT k, {BLACKMAN.format(n=16)} AS w FROM range(16) s(k)),
-g AS (SELECT a.k, a.w, a.w / sum(b.w * b.w) AS dual FROM w a JOIN w b ON (a.k - b.k) % 4 = 0 GROUP BY a.k, a.w)
-SELECT vec_id, CAST(i AS INTEGER) AS at, round(sum((f + 1) * w * dual * x[i + 1]), 6) + 0e0 AS value
-FROM e, range(64) r(i), range(19) q(f), g WHERE g.k = i + 12 - f * 4 GROUP BY vec_id, i""")
-def istft_of_scaled_frames(spark, d):
+g AS (SELECT a.k, a.w / sum(b.w * b.w) AS dual FROM w a JOIN w b ON (a.k - b.k) % 4 = 0 GROUP BY a.k, a.w),
+s AS (SELECT vec_id, f, b, sum(coalesce(CASE WHEN f * 4 + k >= 12 THEN x[f * 4 + k - 11] END, 0) * w * cos(2 * pi() * b * k / 16)) AS re FROM e, range(19) q(f), range(9) r(b), w GROUP BY vec_id, f, b),
+y AS (SELECT vec_id, f * 4 + g.k - 12 AS i, dual / 16 * sum((CASE WHEN b IN (0, 8) THEN 1 ELSE 2 END) * re * (cos(2 * pi() * b * g.k / 16) - sin(2 * pi() * b * g.k / 16))) AS v FROM s, g GROUP BY vec_id, f, g.k, dual)
+SELECT vec_id, CAST(i AS INTEGER) AS at, round(sum(v), 6) + 0e0 AS value FROM y WHERE i BETWEEN 0 AND 63 GROUP BY vec_id, i""")
+def istft_of_real_parts(spark, d):
+    """The real parts taken as imaginary ones, too, so that the result is not the signal."""
     rows = spectral.stft(_vectors(spark, d), "x", 16, 4)
-    louder = lambda c: F.transform(c, lambda f, t: F.transform(f, lambda v: v * (t + 1)))
-    rows = rows.select("vec_id", louder("re").alias("re"), louder("im").alias("im"))
-    rows = rows.select("vec_id", spectral.istft(F.col("re"), F.col("im"), 16, 4, num_samples=64).alias("y"))
-    # the filter that explode infers cannot run a UDF over lambda expressions; the outer form infers none
-    return rows.select("vec_id", F.posexplode_outer("y").alias("at", "value")).withColumn("value", F.round("value", 6) + 0.0)
+    rows = rows.select("vec_id", spectral.istft(F.col("re"), F.col("re"), 16, 4, num_samples=64).alias("y"))
+    return rows.select("vec_id", F.posexplode("y").alias("at", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query(_X + f""", t AS (SELECT vec_id, f, b, x[f * 4 + k + 1] * {HANN.format(n=16)} AS v, 2 * pi() * b * k / 16 AS w FROM e, range(13) q(f), range(9) r(b), range(16) s(k)),
