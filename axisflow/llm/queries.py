@@ -60,7 +60,34 @@ QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_decontamination, op3_packing, op4_token_ids, op5_language_id, op6_near_duplicates,
     op7_secret_scans, op8_license_scans, op9_nearest_neighbours, op10_toxicity)}
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(regexp_split_to_array({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_TERMS = rf"list_filter(regexp_split_to_array({_LOW}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+n AS (SELECT item_id, w, least(len(w), 13) AS n FROM i WHERE len(w) > 0),
+p AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS o FROM n),
+wi AS (SELECT DISTINCT item_id, n, array_to_string(w[o:o + n - 1], ' ') AS win FROM p),
+dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS o FROM d, (SELECT DISTINCT n FROM wi) WHERE len(w) >= n),
+h AS (SELECT doc_id, o, dp.n, item_id FROM dp JOIN wi ON wi.n = dp.n AND wi.win = array_to_string(w[o:o + dp.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT o) AS n_hit FROM (SELECT doc_id, unnest(range(o, o + n)) AS o FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op6_near_duplicates": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, near) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.near),
+c AS (SELECT doc_id, min(near) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
     "op9_nearest_neighbours": """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
