@@ -50,9 +50,10 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame
 def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, item_ids (sorted as strings), spans [start, end) in words, for every row of docs(doc_id, text).
 
-    Winnowed fingerprints of documents, each with the words around it, meet those of the benchmark's windows; each meeting is
-    extended to the whole window and compared word by word. The benchmark's windows, and the items of each, are broadcast only while
-    both have at most `broadcast_rows` rows (of 13 words); beyond that the fingerprints are shuffled. Documents are read and split once.
+    Winnowed fingerprints of documents meet those of the benchmark's windows; each meeting is extended to the whole window and
+    compared word by word. The benchmark's windows, and the items of each, are broadcast only while both have at most
+    `broadcast_rows` rows (of 13 words); beyond that the fingerprints are shuffled, with the words around them. Documents are
+    read and split once.
     Null texts have no words and no hits; null ids stay null; repeated rows give repeated results; other columns are ignored;
     an empty benchmark hits nothing; an empty table gives no rows.
     """
@@ -67,25 +68,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     full = F.when(F.size("grams") >= SPAN, F.transform(_winnowed(F.col("grams")), lambda x: F.struct(F.lit(WINDOW).alias("n"), x["at"].alias("at"), x["h"].alias("h"))))
     prints = [F.coalesce(full, F.array().cast("array<struct<n:int,at:int,h:bigint>>"))]
     prints += [_whole(n) for n in short]
-    first = lambda at: F.greatest(at - (WINDOW - GRAM), F.lit(0))
-    # all that a window around the k-gram can hold, so that the whole text need not go along
-    near = F.transform(F.concat(*prints), lambda p: F.struct(p["n"].alias("n"), p["at"].alias("at"), p["h"].alias("h"), F.slice("words", first(p["at"]) + 1, F.lit(2 * WINDOW - GRAM)).alias("around")))
-    mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("h"), F.array().cast("array<string>").alias("around")))  # one row a document, hit or not
-    rows = hashed.select("doc_id", "tie", F.size("words").alias("n_words"), F.explode(F.concat(mark, near)).alias("p"))
-    rows = rows.select("doc_id", "tie", "n_words", F.col("p.n").alias("pn"), F.col("p.at").alias("at"), F.col("p.h").alias("h"), F.col("p.around").alias("around"))
+    mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("h")))  # one row a document, hit or not
+    rows = hashed.select("doc_id", "tie", F.size("words").alias("n_words"), "words", F.explode(F.concat(mark, *prints)).alias("p"))
+    rows = rows.select("doc_id", "tie", "n_words", "words", F.col("p.n").alias("pn"), F.col("p.at").alias("at"), F.col("p.h").alias("h"))
+
+    def verified(joined: DataFrame, start: Column, local: Column, text: str) -> DataFrame:
+        fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+        return joined.where(F.when(fits & F.col("w").isNotNull(), F.slice(text, local + 1, F.col("n")) == F.col("w")).otherwise(F.col("at") == -1)).select(
+            "doc_id", "tie", "n_words", F.when(F.col("at") >= 0, start).alias("start"), F.when(F.col("at") >= 0, start + F.col("n")).alias("end"), F.when(F.col("at") >= 0, F.col("w")).alias("w"))
 
     start = F.col("at") - F.col("off")
     met = (F.col("h") == F.col("fp")) & (F.col("pn") == F.col("n"))
-    fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-    same = F.slice("around", F.greatest(start - first(F.col("at")), F.lit(0)) + 1, F.col("n")) == F.col("w")
-    hit = ["doc_id", "tie", "n_words", start.alias("start"), (start + F.col("n")).alias("end"), "w"]
-    blank = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("end", "int"), ("w", "array<string>"))]
-    if small:  # one pass: marks go through the same join
-        joined = rows.join(F.broadcast(windows), met, "left").where((F.col("at") == -1) | (F.col("w").isNotNull() & fits & same))
-        hits = joined.select("doc_id", "tie", "n_words", *(F.when(F.col("at") >= 0, c).alias(a) for c, a in ((start, "start"), (start + F.col("n"), "end"), (F.col("w"), "w"))))
+    if small:
+        hits = verified(rows.join(F.broadcast(windows), met, "left"), start, F.greatest(start, F.lit(0)), "words")
     else:
-        hits = rows.where(F.col("at") >= 0).join(windows, met).where(fits & same).select(*hit)
-        hits = hits.unionByName(words.select("doc_id", "tie", F.size("words").alias("n_words"), *blank))
+        first = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
+        near = rows.where(F.col("at") >= 0).withColumn("around", F.slice("words", first + 1, 2 * WINDOW)).drop("words")
+        inner = near.join(windows, met)
+        marks = rows.where(F.col("at") == -1).select("doc_id", "tie", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("array<string>").alias("w"))
+        hits = verified(inner, start, F.greatest(start - first, F.lit(0)), "around").unionByName(marks)
 
     hits = materialize(hits)
     by = ["doc_id", "tie", "n_words"]
