@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,9 +23,8 @@ from .common import materialize
 TOKENIZER = "byte_bpe_50k.json"
 #: From this character on, the regex library and the tokenizer do not agree on all character classes.
 FIRST_UNSURE = "԰"
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
-MARKS = ",.;:!?"
 BYTES_A_TOKEN = 3  # only an estimate, for the number of shards
 
 
@@ -150,95 +150,129 @@ def leading_blank(path: str) -> np.ndarray:
     return out
 
 
+BLANK, BREAK = 0x20, 0x0A
+LETTERS = frozenset(string.ascii_letters.encode())
+PUNCTUATION = frozenset(string.punctuation.encode())
+
+
+@functools.cache
+def byte_kinds() -> np.ndarray:
+    """Of each byte: 1 ASCII letter, 2 ASCII punctuation, 4 visible ASCII."""
+    return np.array([(b in LETTERS) | (b in PUNCTUATION) << 1 | (0x20 < b < 0x7F) << 2 for b in range(256)], np.uint8)
+
+
+def borders(data: np.ndarray) -> np.ndarray:
+    """Whether a pre-token surely begins at each of the UTF-8 bytes data[3:]: a blank or line break behind another character, ASCII punctuation behind a letter.
+
+    No pre-token has white space behind another character, or punctuation behind a letter. Characters beyond ASCII count only where
+    their bytes show that they are no white space: two bytes not led by C2, or longer ones not led by E1, E2 or E3;
+    as letters those led by C3, without the signs of multiplication and division.
+    """
+    kinds = byte_kinds()[data]
+    one, two, three = data[2:-1], data[1:-2], data[:-3]  # one to three bytes before data[3:]
+    other = (one >= 0x80) & (((two >= 0xC3) & (two < 0xE0)) | ((two >= 0x80) & (two < 0xC0) & ~((three >= 0xE1) & (three <= 0xE3))))
+    letter = (kinds[2:-1] & 1 > 0) | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
+    now = data[3:]
+    return (((now == BLANK) | (now == BREAK)) & ((kinds[2:-1] & 4 > 0) | other)) | ((kinds[3:] & 2 > 0) & letter)
+
+
 class TokenEncoder:
     """Ids of whole texts by joining those of their chunks; what the worker's cache lacks is encoded many at a time.
 
-    A chunk begins at a blank before a character that is no white space. There a pre-token begins, whatever stands around it,
-    so the chunks' ids are the text's. Texts with special strings go to the library whole.
+    A chunk begins where a pre-token surely begins, so the chunks' ids are the text's. Texts with special strings go to the
+    library whole. Arrow numbers the distinct chunks of a batch, so that Python looks up each of them once.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.entries = entries
         self.library, self.ids, self.leads = tokenizer(path), worker_ids(path), leading_blank(path)
-        self.tails: dict[str, bytes] = {}
+        self.breaks = np.zeros(len(self.leads), bool)
+        self.breaks[self.library.encode("\n", add_special_tokens=False).ids] = True
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Parts between single blanks, a longer run of white space kept within one chunk."""
-        out = parts[:1]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        """Puts the ids of chunks, each with a blank before it, in the cache: many in one text, cut where a token begins with a blank."""
-        plain = [p for p in new if " " not in p]
-        groups = [plain[a : a + 256] for a in range(0, len(plain), 256)]
-        alone = [p for p in new if " " in p]
-        for group, e in zip(groups, self.library.encode_batch_fast([" " + " ".join(x) for x in groups], add_special_tokens=False), strict=True):
+    def learn(self, new: list[str], leads: np.ndarray) -> list[str]:
+        """Puts the ids of chunks in the cache: many in one text, cut at the tokens that begin a chunk. Returns those that cannot be cut so."""
+        groups, left = [new[a : a + 256] for a in range(0, len(new), 256)], []
+        for group, e in zip(groups, self.library.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
             found = np.array(e.ids, "<u4")
-            at = [*(np.flatnonzero(self.leads[found]) * 4).tolist(), 4 * len(found)]
+            at = [*(np.flatnonzero(leads[found]) * 4).tolist(), 4 * len(found)]
             if len(at) != len(group) + 1:
-                alone += group
+                left += group
                 continue
             raw = found.tobytes()
             self.ids.update((p, raw[i:j]) for p, i, j in zip(group, at, at[1:], strict=False))
-        for p, e in zip(alone, self.library.encode_batch_fast([" " + p for p in alone], add_special_tokens=False), strict=True):
-            self.ids[p] = np.array(e.ids, "<u4").tobytes()
+        return left
 
     def learn_all(self, new: list[str]) -> None:
-        """As learn, but a word with punctuation behind it is put together from both; their border always parts pre-tokens."""
-        ends, words = [], set()
+        """Words behind a blank, or behind a line break, are encoded in groups; other chunks each by itself."""
+        kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
         for p in new:
-            if p[-1] in MARKS and len(p) <= CACHE_CHARS and (w := p.rstrip(MARKS)) and w[-1].isalpha() and w[-1] < FIRST_UNSURE:
-                ends.append((p, w, p[len(w) :]))
-                words.add(w)
-            else:
-                words.add(p)
-        self.learn([w for w in words if w not in self.ids])
-        for p, w, tail in ends:
-            if tail not in self.tails:
-                self.tails[tail] = self.one(tail)
-            self.ids[p] = self.ids[w] + self.tails[tail]
-
-    def one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            lead = p[0]
+            grouped = lead in kinds and len(p) > 1 and p.count(lead) == 1 and (lead == " " or " " not in p) and not p[1].isspace() and not p[-1].isspace()
+            kinds[lead if grouped else ""].append(p)
+        alone = kinds[""] + self.learn(kinds[" "], self.leads) + self.learn(kinds["\n"], self.breaks)
+        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.ids[p] = np.array(e.ids, "<u4").tobytes()
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        ids = self.ids
+        known = list(map(ids.get, chunks))
+        gaps = [i for i, b in enumerate(known) if b is None]
+        if gaps:
+            self.learn_all([chunks[i] for i in gaps])
+            for i in gaps:
+                p = chunks[i]
+                known[i] = ids[p] if len(p) <= CACHE_CHARS else ids.pop(p)
+            if len(ids) > self.entries:
+                ids.clear()
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        ids, whole = self.ids, [any(x in t for x in self.special) for t in texts]
-        lists = [[""] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        known = [list(map(ids.get, x[1:])) for x in lists]
-        wanted: set[str] = set()
-        for i, k in enumerate(known):
-            if None in k:  # parts that begin with white space are never in the cache
-                missed = [p for p, b in zip(lists[i][1:], k, strict=True) if b is None]
-                if any(not p or p[0].isspace() for p in missed):
-                    lists[i] = self.merged(lists[i])
-                    missed = [p for p in lists[i][1:] if p not in ids]
-                wanted.update(missed)
-        # the first chunk has no blank before it
-        first = self.library.encode_batch_fast([t if w else x[0] for t, x, w in zip(texts, lists, whole, strict=True)], add_special_tokens=False)
-        self.learn_all(list(wanted))
-        known = [list(map(ids.__getitem__, x[1:])) if None in k else k for x, k in zip(lists, known, strict=True)]
-        out = [np.array(e.ids, "<u4").tobytes() + b"".join(k) for e, k in zip(first, known, strict=True)]
-        for p in wanted:
-            if len(p) > CACHE_CHARS:
-                del ids[p]
-        if len(ids) > self.entries:
-            ids.clear()
+        out = [b""] * len(texts)
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        for i, e in zip(special, self.library.encode_batch_fast([texts[i] for i in special], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        plain = sorted({i for i, t in enumerate(texts) if t}.difference(special))
+        if not plain:
+            return out
+        raw = [texts[i].encode() for i in plain]
+        starts = np.cumsum([0, *map(len, raw)])
+        data = b"".join(raw)
+        begins = borders(np.frombuffer(b"xxx" + data, np.uint8))  # three bytes, so that each one has three before it
+        begins[starts[:-1]] = True
+        cuts = np.append(np.flatnonzero(begins), len(data))
+        parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype("<i8")), pa.py_buffer(data))
+        coded = parts.dictionary_encode()
+        known = self.chunk_ids(coded.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, known)]) // 4
+        table = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(known), "<u4")))
+        found = table.take(coded.indices)
+        ids, places = memoryview(np.ascontiguousarray(found.values.to_numpy(), "<u4")).cast("B"), 4 * found.offsets.to_numpy()[np.searchsorted(cuts, starts)]
+        for i, x, y in zip(plain, places[:-1].tolist(), places[1:].tolist(), strict=True):
+            out[i] = bytes(ids[x:y])
         return out
 
 
+def batches_of(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+    """Successive texts of about so many characters in all, or a single longer one."""
+    a, total = 0, 0
+    for b, t in enumerate(texts):
+        total += len(t)
+        if total >= chars:
+            yield texts[a : b + 1]
+            a, total = b + 1, 0
+    if a < len(texts):
+        yield texts[a:]
+
+
 def encoder(path: str, end_id: int):
     """Text to ids with the end id, as little-endian unsigned 32-bit values."""
     library, end = TokenEncoder(path), np.array([end_id], "<u4").tobytes()
 
     def run(texts: list[str]) -> Iterator[np.ndarray]:
-        for a in range(0, len(texts), 64):
-            for ids in library.encode(texts[a : a + 64]):
+        for part in batches_of(texts):
+            for ids in library.encode(part):
                 yield np.frombuffer(ids + end, "<u4")
 
     return run
@@ -354,9 +388,11 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer_path:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, end, place = TokenEncoder(source, cache_entries), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                raw = [ids + end for ids in library.encode(part.column("text").to_pylist())]
+            done = 0
+            for texts in batches_of(batch.column("text").to_pylist()):
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                raw = [ids + end for ids in library.encode(texts)]
                 ends = np.cumsum([0, *map(len, raw)]) // 4
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(np.arange(place, place + len(raw)))], ["doc_id", "ids", "place"])

@@ -199,7 +199,7 @@ def test_toxicity_of_a_single_telling_word(spark):
 def test_encoder_equals_library_on_any_white_space():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, ours, rnd = Tokenizer.from_file(path), tokens.TokenEncoder(path), random.Random(3)
-    bits = ["a", "word", "Ünï", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", " ", "　", "'s", "don't", "12", ".", "!?", "日本", "क्ष", "😀", "Ġ", "<|endoftext|>", "x" * 60 + ","]
-    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    bits = ["a", "word", "Ünï", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", " ", "　", "'s", "don't", "12", ".", "!?", "日本", "क्ष", "😀", "Ġ", "<|endoftext|>", "x" * 60 + ",", "é", "ß.", "×", "÷!", "a×.", "e\u0301", "か", "\u2003", "\u202f", "\u1680", "\u200b", "#%&", "_", "'", "'ll", "٣", "٣.", "Ж", "Ж.", "\x7f", "\x0b", "\0"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(20_000)]
     got = [b for a in range(0, len(texts), 64) for b in ours.encode(texts[a : a + 64])]
     assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
