@@ -46,6 +46,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """All columns of df as names that may hold dots."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def words_column(text):
     """Lower-cased ASCII letters; maximal runs of digits, letters and non-ASCII characters. Null: no words."""
     parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NON_WORD)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words_column
+from .common import materialize, quoted, words_column
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1  # k-grams whose least hash is kept: any shared run of WINDOW words shares a kept one
@@ -118,5 +118,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     found = find_contamination(docs, items)
     bad = contamination_digest(found, "text_hash").where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("own"), F.struct(*docs.columns).alias("row"))  # no name can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("own"), F.struct(*quoted(docs)).alias("row"))  # no name can clash
     return rows.join(bad, F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left_anti").select("row.*")

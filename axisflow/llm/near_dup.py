@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5  # at similarity 0.75 all bands of a pair differ with probability 2e-5, less for nearer pairs
@@ -269,7 +269,7 @@ def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
     kept = _judged(docs, share).where("kept").where(F.col("doc_id").isNotNull())
     # the node of the group's row; groups that share a least id are told apart by the root
     kept = materialize(kept.groupBy("doc_id", "root").agg(F.min("node").alias("own")).select(F.col("doc_id").alias("id"), "own"))
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))  # no name can clash
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.struct(*quoted(docs)).alias("row"))  # no name can clash
     times = known.groupBy("id").agg((F.count("*") > 1).alias("repeated"))
     several = times.join(kept.select("id").distinct(), "id", "left_semi")
     rows = known.join(several, "id")
