@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from axisflow.llm import decontaminate, near_dup, secrets, tokens, toxicity
-from axisflow.llm.common import load, materialize
+from axisflow.llm.common import load, materialize, quoted
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    return secrets.redact(secrets.find_secrets(docs)).select(docs.columns)
+    return secrets.redact(secrets.find_secrets(docs)).select(quoted(docs))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
