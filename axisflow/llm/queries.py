@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, near_dup, nearest, secrets, tokens, toxicity
+from . import conversations, decontaminate, language, licenses, near_dup, nearest, secrets, tokens, toxicity
 from .common import load, work_dir
 
 
@@ -56,9 +56,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_from_labels(docs, load(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return conversations.repair_digest(conversations.repair_edits(conversations.damage(turns)), turns)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_decontamination, op3_packing, op4_token_ids, op5_language_id, op6_near_duplicates,
-    op7_secret_scans, op8_license_scans, op9_nearest_neighbours, op10_toxicity)}
+    op7_secret_scans, op8_license_scans, op9_nearest_neighbours, op10_toxicity, op11_conversation_repair)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
