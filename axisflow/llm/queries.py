@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, language, licenses, near_dup, nearest, secrets, spelling, tokens, toxicity
+from . import conversations, decontaminate, language, licenses, near_dup, nearest, quality, secrets, spelling, tokens, toxicity
 from .common import load, work_dir
 
 
@@ -61,13 +61,20 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digest(conversations.repair_edits(conversations.damage(turns)), turns)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))  # a null id is not held out
+    field = quality.learn_quality(docs.where(~fold), load(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, field).select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.count_words(load(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_decontamination, op3_packing, op4_token_ids, op5_language_id, op6_near_duplicates,
-    op7_secret_scans, op8_license_scans, op9_nearest_neighbours, op10_toxicity, op11_conversation_repair, op13_spelling_variants)}
+    op7_secret_scans, op8_license_scans, op9_nearest_neighbours, op10_toxicity, op11_conversation_repair, op12_quality, op13_spelling_variants)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
