@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -75,30 +77,44 @@ class Finder:
         return all(w in whole for w in TELLING.get(label, ()) if w in notice.split())
 
     def fuzzy(self, line: str) -> list[tuple[int, int, str, float]]:
-        """Spans in the normalised line: start, end, label, similarity. Overlapping windows of a notice are searched once."""
-        windows: dict[int, list[list[int]]] = {}
+        """Spans in the normalised line: start, end, label, similarity; those of one notice do not overlap.
+
+        Each seed's own window is searched by itself. The best match of a notice is taken first (ties: the leftmost); a window whose match
+        a taken one overlaps is searched again in what is left of it. A window meets few taken matches, so the work follows the line's length.
+        """
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, uses) in self.seeds.iter(line):
             for i, a in uses:
                 n, _, k = self.notices[i]
-                lo = max(0, end + 1 - size - a - k)
-                hi = min(len(line), end + 1 - size - a + len(n) + k)
-                spans = windows.setdefault(i, [])
-                if spans and lo <= spans[-1][1]:
-                    spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
-                else:
-                    spans.append([lo, hi])
+                first = end + 1 - size - a
+                windows.setdefault(i, set()).add((max(0, first - k), min(len(line), first + len(n) + k)))
         found = []
-        for i, spans in windows.items():
-            n, label, _ = self.notices[i]
-            for lo, hi in spans:
-                rest = [(lo, hi)]  # the best match is taken first, then those to its left and right
-                while rest:
-                    lo, hi = rest.pop()
-                    m = self.match[i].search(line, lo, hi)
-                    if m is not None:
-                        if self.tells(line, m.start(), m.end(), n, label):
-                            found.append((m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / len(n)))
-                        rest += [(lo, m.start()), (m.end(), hi)]
+        for i, own in windows.items():
+            n, label, k = self.notices[i]
+            best: list[tuple[int, int, int, int, int]] = []
+            starts: list[int] = []
+            taken: list[tuple[int, int]] = []
+
+            def look(lo: int, hi: int, i=i, n=n, k=k, best=best) -> None:
+                m = self.match[i].search(line, lo, hi) if hi - lo >= len(n) - k else None
+                if m is not None:
+                    heapq.heappush(best, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
+            for lo, hi in sorted(own):
+                look(lo, hi)
+            while best:
+                errors, start, end, lo, hi = heapq.heappop(best)
+                at = bisect.bisect_left(starts, lo)
+                near = [x for x in taken[max(0, at - 1) : bisect.bisect_left(starts, hi)] if x[1] > lo]
+                if not any(x[0] < end and start < x[1] for x in near):
+                    place = bisect.bisect_left(starts, start)
+                    starts.insert(place, start)
+                    taken.insert(place, (start, end))
+                    if self.tells(line, start, end, n, label):
+                        found.append((start, end, label, 1.0 - errors / len(n)))
+                    continue
+                for a, z in zip([lo, *(x[1] for x in near)], [*(x[0] for x in near), hi], strict=True):
+                    look(a, z)
         return sorted(found)
 
 

@@ -128,7 +128,7 @@ def _descend(field: LineField, x: np.ndarray, y: np.ndarray, counts: np.ndarray,
         p, pairs = forward_backward(x @ value[:n], counts, value[n:].reshape(2, 2))
         slope = np.concatenate([x.T @ (p[:, 1] - y), (pairs - told).ravel()]) / len(y) + l2 * value
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        value -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        value -= 0.1 / (1 + k / 100) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     field.weights, field.step = value[:n], value[n:].reshape(2, 2)
 
 
