@@ -31,77 +31,82 @@ def _whole(n: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Distinct windows (n, fp, off, w) of items(item_id, text), and the items of each (w, item_id).
+    """Distinct windows (n, fp, off, w) of items(item_id, text), and the items of each (w, item_id); w holds its words joined by blanks.
 
     An item of fewer than `window` words, but not none, is one window. fp is the least k-gram hash at off for full windows,
     and the hash of all words for short ones. Null texts have no windows; null ids are left out; equal items share windows.
     """
     words = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), words_column(F.col("text")).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(window))
-    each = words.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.slice("words", i + 1, n))).alias("w")).distinct()
-    grams = _grams(F.col("w"), GRAM)
-    distinct = each.select("n", "w").distinct()
-    windows = distinct.select(
-        "n", "w", F.when(F.col("n") == window, F.array_min(grams)).otherwise(F.xxhash64("w")).alias("fp"),
+    each = words.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.slice("words", i + 1, n))).alias("run")).distinct()
+    grams = _grams(F.col("run"), GRAM)
+    joined = F.array_join("run", " ")
+    windows = each.select("n", "run").distinct().select(
+        "n", joined.alias("w"), F.when(F.col("n") == window, F.array_min(grams)).otherwise(F.xxhash64("run")).alias("fp"),
         F.when(F.col("n") == window, F.array_position(grams, F.array_min(grams)) - 1).otherwise(F.lit(0)).cast("int").alias("off"))
-    return windows, each.select("w", "item_id")
+    return windows, each.select(joined.alias("w"), "item_id")
+
+
+def _same(left: str = "", right: str = "") -> Column:
+    return F.col(f"{left}doc_id").eqNullSafe(F.col(f"{right}d")) & (F.col(f"{left}tie") == F.col(f"{right}t"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, item_ids (sorted as strings), spans [start, end) in words, for every row of docs(doc_id, text).
 
-    Winnowed fingerprints of documents meet those of the benchmark's windows; each meeting is extended to the whole window and
-    compared word by word. The benchmark's windows, and the items of each, are broadcast only while both have at most
-    `broadcast_rows` rows (of 13 words); beyond that the fingerprints are shuffled, with the words around them. Documents are
-    read and split once.
+    Winnowed fingerprints of documents, with their places alone, meet those of the benchmark's windows. Documents with a meeting are read
+    again; each meeting is extended to the whole window, whose words must be those of a window of the benchmark. Fingerprints (20 bytes a
+    row) and the keys of documents with meetings (16 bytes) are broadcast only up to `broadcast_rows` rows, and shuffled beyond that.
     Null texts have no words and no hits; null ids stay null; repeated rows give repeated results; other columns are ignored;
     an empty benchmark hits nothing; an empty table gives no rows.
     """
     windows, members = benchmark_windows(items)
     windows, members = materialize(windows), materialize(members)
-    per_length = windows.groupBy("n").count().collect()  # at most WINDOW rows
-    small = max(sum(r["count"] for r in per_length), members.count()) <= broadcast_rows
+    prints_of = materialize(windows.select("n", "fp", "off").distinct())
+    per_length = prints_of.groupBy("n").count().collect()  # at most WINDOW rows
+    small = sum(r["count"] for r in per_length) <= broadcast_rows
     short = sorted(r["n"] for r in per_length if r["n"] < WINDOW)
 
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), words_column(F.col("text")).alias("words"))
-    hashed = words.select("doc_id", "tie", "words", _grams(F.col("words"), GRAM).alias("grams"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    hashed = keyed.select("doc_id", "tie", words_column(F.col("text")).alias("words")).select("doc_id", "tie", "words", _grams(F.col("words"), GRAM).alias("grams"))
     full = F.when(F.size("grams") >= SPAN, F.transform(_winnowed(F.col("grams")), lambda x: F.struct(F.lit(WINDOW).alias("n"), x["at"].alias("at"), x["h"].alias("h"))))
     prints = [F.coalesce(full, F.array().cast("array<struct<n:int,at:int,h:bigint>>"))]
     prints += [_whole(n) for n in short]
     mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("h")))  # one row a document, hit or not
-    rows = hashed.select("doc_id", "tie", F.size("words").alias("n_words"), "words", F.explode(F.concat(mark, *prints)).alias("p"))
-    rows = rows.select("doc_id", "tie", "n_words", "words", F.col("p.n").alias("pn"), F.col("p.at").alias("at"), F.col("p.h").alias("h"))
-
-    def verified(joined: DataFrame, start: Column, local: Column, text: str) -> DataFrame:
-        fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-        return joined.where(F.when(fits & F.col("w").isNotNull(), F.slice(text, local + 1, F.col("n")) == F.col("w")).otherwise(F.col("at") == -1)).select(
-            "doc_id", "tie", "n_words", F.when(F.col("at") >= 0, start).alias("start"), F.when(F.col("at") >= 0, start + F.col("n")).alias("end"), F.when(F.col("at") >= 0, F.col("w")).alias("w"))
+    rows = hashed.select("doc_id", "tie", F.size("words").alias("n_words"), F.explode(F.concat(mark, *prints)).alias("p"))
+    rows = rows.select("doc_id", "tie", "n_words", F.col("p.n").alias("pn"), F.col("p.at").alias("at"), F.col("p.h").alias("h"))
 
     start = F.col("at") - F.col("off")
     met = (F.col("h") == F.col("fp")) & (F.col("pn") == F.col("n"))
+    fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     if small:
-        hits = verified(rows.join(F.broadcast(windows), met, "left"), start, F.greatest(start, F.lit(0)), "words")
+        joined = rows.join(F.broadcast(prints_of), met, "left").where(fits | (F.col("at") == -1)).select("doc_id", "tie", "n_words", start.alias("start"), "n")
     else:
-        first = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
-        near = rows.where(F.col("at") >= 0).withColumn("around", F.slice("words", first + 1, 2 * WINDOW)).drop("words")
-        inner = near.join(windows, met)
-        marks = rows.where(F.col("at") == -1).select("doc_id", "tie", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("array<string>").alias("w"))
-        hits = verified(inner, start, F.greatest(start - first, F.lit(0)), "around").unionByName(marks)
-
-    hits = materialize(hits)
-    by = ["doc_id", "tie", "n_words"]
-    spans = F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))))
+        joined = rows.where("at >= 0").join(prints_of, met).where(fits).select("doc_id", "tie", "n_words", start.alias("start"), "n")
+        joined = joined.unionByName(rows.where("at = -1").select("doc_id", "tie", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n")))
+    joined = materialize(joined)  # a row a document without start, and a row a meeting
+
+    starts = materialize(joined.where("start IS NOT NULL").groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_set(F.struct("start", "n")).alias("starts")))
+    keys = starts.select("d", "t")
+    keys = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    again = materialize(keyed.join(keys, _same(), "left_semi"))  # documents with meetings
+    texts = again.join(starts, _same()).select("doc_id", "tie", "starts", words_column(F.col("text")).alias("words"))
+    runs = texts.select("doc_id", "tie", F.explode(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["n"]).alias("end"), F.array_join(F.slice("words", s["start"] + 1, s["n"]), " ").alias("w")))).alias("run"))
+    hits = materialize(runs.select("doc_id", "tie", "run.*").join(windows.select("w"), "w").distinct())
+
+    spans = F.array_sort(F.collect_set(F.struct("start", "end")))
     merged = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["start"], s["to"]), F.lit(0))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")))
-    covered = hits.groupBy(by).agg(spans.alias("spans"), F.sum(F.col("start").isNull().cast("int")).alias("times")).withColumn("n_hit", merged["n"].cast("long"))
-    met_items = hits.where(F.col("w").isNotNull()).select(*by, "w").distinct()
-    members = F.broadcast(members) if small else members
-    of_doc = met_items.join(members, "w").groupBy(by).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    of_doc = of_doc.toDF("d2", "t2", "n2", "item_ids")
-    both = covered.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tie") == F.col("t2")) & (F.col("n_words") == F.col("n2")), "left")
-    out = both.select("doc_id", F.col("tie").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"), "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time"))
-    return out.drop("_time")
+    by = [F.col("doc_id").alias("d"), F.col("tie").alias("t")]
+    covered = hits.groupBy(*by).agg(spans.alias("spans")).withColumn("n_hit", merged["n"].cast("long"))
+    of_doc = hits.select(*by, "w").distinct().join(members, "w").groupBy("d", "t").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    of_doc = of_doc.toDF("doc_id", "tie", "item_ids").join(covered, _same()).select("d", "t", "spans", "n_hit", "item_ids")
+    every = joined.where("start IS NULL").groupBy("doc_id", "tie", "n_words").agg(F.count("*").cast("int").alias("times"))
+    both = every.join(of_doc, _same(), "left")
+    return both.select(
+        "doc_id", F.col("tie").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
 
 
 def contamination_digest(found: DataFrame, *more: str) -> DataFrame:
