@@ -1,7 +1,8 @@
 """Interval algebra on an integer axis: half-open [start, stop), touching intervals merge.
 
 All operators take DataFrames with the key columns named by `by` and long columns start, stop. Rows with a null bound or
-without length are left out. Work is done by windows and aggregates partitioned by key.
+without length are left out; a null key is a key like others. Work is done by windows and aggregates inside (key, range of the axis):
+only keys of more than ranges.LIMIT rows have more than one range.
 """
 
 from __future__ import annotations
@@ -9,18 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import LIMIT, cuts, free, joined, ranged, running, stored
+
 
 def _valid(iv: DataFrame, by: list[str]) -> DataFrame:
     return iv.select(*by, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).where("start < stop")
 
 
-def normalize(iv: DataFrame, by: list[str]) -> DataFrame:
-    """Disjoint, sorted intervals with the same points; touching ones merge."""
-    order = Window.partitionBy(*by).orderBy("start", "stop")
+def normalize(iv: DataFrame, by: list[str], limit: int = LIMIT) -> DataFrame:
+    """Disjoint, sorted intervals with the same points; touching ones merge.
+
+    A key of more than `limit` intervals is merged inside ranges of its axis. Then a range's first intervals may touch what earlier ranges
+    reach: one row a range carries that reach, and they join the interval that it comes from.
+    """
+    rows = _valid(iv, by)
+    return _merged(rows, by, cuts(rows, by, "start", limit))
+
+
+def _merged(rows: DataFrame, by: list[str], parts: DataFrame | None) -> DataFrame:
+    piece, new, island, top, last = free(by, "piece", "new", "island", "top", "last")
+    rows = ranged(rows, by, "start", parts, piece)
+    order = Window.partitionBy(*by, piece).orderBy("start", "stop") if parts is not None else Window.partitionBy(*by).orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = _valid(iv, by).withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
+    rows = rows.withColumn(new, (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    rows = rows.withColumn(island, F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if parts is None:
+        return rows.groupBy(*by, island).agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop(island)
+    here = stored(rows.groupBy(*by, piece, island).agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop(island))
+    before = Window.partitionBy(*by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    tops = here.groupBy(*by, piece).agg(F.max("stop").alias(top)).select(*by, piece, F.max(top).over(before).alias(top))
+    flagged = joined(here, tops, [*by, piece]).withColumn(new, F.col(top).isNull() | (F.col("start") > F.col(top))).drop(top)
+    heads = flagged.groupBy(*by, piece).agg(F.max(F.when(F.col(new), F.col("start"))).alias(last)).select(*by, piece, F.max(last).over(before).alias(last))
+    named = joined(flagged, heads, [*by, piece]).withColumn(last, F.when(F.col(new), F.col("start")).otherwise(F.col(last)))
+    return named.groupBy(*by, last).agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop(last)
 
 
 def complement(iv: DataFrame, by: list[str], length: int, start: int = 0) -> DataFrame:
@@ -32,23 +54,38 @@ def complement(iv: DataFrame, by: list[str], length: int, start: int = 0) -> Dat
     return rows.withColumn("_next", F.lead("start").over(order)).select(*by, F.col("stop").alias("start"), F.col("_next").alias("stop")).where("start < stop")
 
 
-def sweep(parts: list[DataFrame], by: list[str], keep) -> DataFrame:
-    """The points where keep(covers) holds, covers being one boolean column an input: union, intersection, xor, equality, difference.
-
-    Each input is normalised, its bounds become +1 and -1 steps, and running sums give the coverage between steps.
-    """
+def _steps(parts: list[DataFrame], by: list[str], names: list[str]) -> DataFrame:
+    """(by.., at, a column of names for each part): by how much the number of its open intervals changes at each bound."""
     steps = None
     for i, part in enumerate(parts):
-        n = normalize(part, by)
+        v = _valid(part, by)
         for bound, step in (("start", 1), ("stop", -1)):
-            rows = n.select(*by, F.col(bound).alias("at"), *(F.lit(step if i == j else 0).alias(f"_s{j}") for j in range(len(parts))))
+            rows = v.select(*by, F.col(bound).alias("at"), *(F.lit(step if i == j else 0).alias(n) for j, n in enumerate(names)))
             steps = rows if steps is None else steps.unionByName(rows)
-    steps = steps.groupBy(*by, "at").agg(*(F.sum(f"_s{j}").alias(f"_s{j}") for j in range(len(parts))))
-    order = Window.partitionBy(*by).orderBy("at")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    covers = [(F.sum(f"_s{j}").over(run) > 0).alias(f"_c{j}") for j in range(len(parts))]
-    pieces = steps.select(*by, F.col("at").alias("start"), F.lead("at").over(order).alias("stop"), *covers)
-    return normalize(pieces.where(keep(*(F.col(f"_c{j}") for j in range(len(parts))))), by)
+    return steps.groupBy(*by, "at").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _levels(parts: list[DataFrame], by: list[str], names: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(by.., start, stop, names): how many intervals of each part are open between neighbouring bounds; and the cuts of the axis."""
+    piece, *level = free([*by, "at", "stop", *names], "piece", *(f"open_{n}" for n in names))
+    steps = _steps(parts, by, names)
+    split = cuts(steps, by, "at", limit)
+    if split is not None:
+        steps = stored(steps)
+    steps = ranged(steps, by, "at", split, piece)
+    rows = running(steps, by, ["at"], dict(zip(level, names, strict=True)), piece if split is not None else None, {"stop": "at"})
+    return rows.select(*by, F.col("at").alias("start"), "stop", *(F.col(x).alias(n) for x, n in zip(level, names, strict=True))), split
+
+
+def sweep(parts: list[DataFrame], by: list[str], keep, limit: int = LIMIT) -> DataFrame:
+    """The points where keep(covers) holds, covers being one boolean column an input: union, intersection, xor, equality, difference.
+
+    Each input's bounds become +1 and -1 steps, and running sums give the coverage between steps, in one pass over all of them.
+    """
+    names = free(by, *(f"part{i}" for i in range(len(parts))))
+    levels, split = _levels(parts, by, names, limit)
+    kept = levels.where(keep(*(F.col(n) > 0 for n in names))).where("start < stop").select(*by, "start", "stop")
+    return _merged(kept, by, split)
 
 
 def union(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -95,15 +132,10 @@ def total(iv: DataFrame, by: list[str]) -> DataFrame:
     return normalize(iv, by).groupBy(*by).agg(F.sum(F.col("stop") - F.col("start")).alias("total"))
 
 
-def concurrency(iv: DataFrame, by: list[str]) -> DataFrame:
+def concurrency(iv: DataFrame, by: list[str], limit: int = LIMIT) -> DataFrame:
     """How long exactly `level` intervals are open at once, for level > 0."""
-    v = _valid(iv, by)
-    steps = v.select(*by, F.col("start").alias("at"), F.lit(1).alias("s")).unionByName(v.select(*by, F.col("stop").alias("at"), F.lit(-1).alias("s")))
-    steps = steps.groupBy(*by, "at").agg(F.sum("s").alias("s"))
-    order = Window.partitionBy(*by).orderBy("at")
-    level = F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = steps.select(*by, level.alias("level"), (F.lead("at").over(order) - F.col("at")).alias("n"))
-    return rows.where("level > 0 AND n > 0").groupBy(*by, "level").agg(F.sum("n").alias("duration"))
+    rows, _ = _levels([iv], by, ["level"], limit)
+    return rows.where("level > 0 AND stop > start").groupBy(*by, "level").agg(F.sum(F.col("stop") - F.col("start")).alias("duration"))
 
 
 def to_text(iv: DataFrame, by: list[str]) -> DataFrame:
@@ -113,8 +145,12 @@ def to_text(iv: DataFrame, by: list[str]) -> DataFrame:
 
 
 def from_text(texts: DataFrame, by: list[str], column: str = "text") -> DataFrame:
-    parts = texts.select(*by, F.explode(F.split(column, ",")).alias("p")).where("p <> ''")
-    return parts.select(*by, F.split("p", ":")[0].cast("long").alias("start"), F.split("p", ":")[1].cast("long").alias("stop"))
+    """Intervals from `start:stop` pieces joined by commas, blanks allowed around them; the job fails for anything else."""
+    piece, sides = free(by, "piece", "sides")
+    parts = texts.select(*by, F.explode(F.split(F.regexp_replace(F.col(column), r"\s", ""), ",")).alias(piece)).where(F.col(piece) != "")
+    sure = F.when(F.col(piece).rlike("^-?[0-9]+:-?[0-9]+$"), F.split(piece, ":")).otherwise(F.raise_error(F.concat(F.lit("not an interval: "), piece)).cast("array<string>"))
+    parts = parts.select(*by, sure.alias(sides))
+    return parts.select(*by, F.col(sides)[0].cast("long").alias("start"), F.col(sides)[1].cast("long").alias("stop"))
 
 
 def run_lengths(rows: DataFrame, by: list[str], order: list[str], flag) -> DataFrame:
@@ -163,12 +199,21 @@ def mean(iv: DataFrame, by: list[str], length: int) -> DataFrame:
     return total(iv, by).select(*by, (F.col("total") / length).alias("mean"))
 
 
-def contains(points: DataFrame, iv: DataFrame, by: list[str], at: str = "at") -> DataFrame:
-    """points with `inside`: whether an interval of the same key holds the place."""
-    n = normalize(iv, by).select(*(F.col(c).alias(f"_{c}") for c in by), "start", "stop")
-    same = [F.col(c) == F.col(f"_{c}") for c in by]
-    joined = points.join(n, [*same, F.col("start") <= F.col(at), F.col(at) < F.col("stop")], "left")
-    return joined.select(*points.columns, F.col("start").isNotNull().alias("inside"))
+def contains(points: DataFrame, iv: DataFrame, by: list[str], at: str = "at", limit: int = LIMIT) -> DataFrame:
+    """points with `inside`: whether an interval of the same key holds the place.
+
+    Points and bounds go along the axis together: a point is inside where more intervals have begun than ended, so the work is a sort.
+    A point without a place is not inside; repeated points stay.
+    """
+    place, kind, row, step, level, piece = free(by, "place", "kind", "row", "step", "level", "piece")
+    steps = _steps([iv], by, [step]).select(*by, F.col("at").alias(place), step, F.lit(0).alias(kind))
+    asked = points.select(*by, F.col(at).cast("long").alias(place), F.lit(0).cast("long").alias(step), F.lit(1).alias(kind), F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias(row))
+    both = steps.withColumn(row, F.lit(None).cast(asked.schema[row].dataType)).unionByName(asked)
+    split = cuts(both.select(*by, place), by, place, limit)
+    if split is not None:
+        both = stored(both)
+    done = running(ranged(both, by, place, split, piece), by, [place, kind], {level: step}, piece if split is not None else None)
+    return done.where(F.col(kind) == 1).select(f"{row}.*", F.coalesce(F.col(level) > 0, F.lit(False)).alias("inside"))
 
 
 def dense(iv: DataFrame, by: list[str], length: int) -> DataFrame:
@@ -208,9 +253,8 @@ def to_serializable(iv: DataFrame, by: list[str], length: int | None) -> DataFra
 
 
 def from_serializable(texts: DataFrame, by: list[str]) -> DataFrame:
-    """(key.., start, stop, length)."""
-    parts = texts.select(*by, "length", F.explode(F.split(F.regexp_replace("text", " ", ""), ",")).alias("p")).where("p <> ''")
-    return parts.select(*by, F.split("p", ":")[0].cast("long").alias("start"), F.split("p", ":")[1].cast("long").alias("stop"), "length")
+    """(key.., start, stop, length); the job fails for malformed text."""
+    return from_text(texts, [*by, "length"]).select(*by, "start", "stop", "length")
 
 
 def from_pairs(pairs: DataFrame, by: list[str], length: int, column: str = "pairs") -> DataFrame:

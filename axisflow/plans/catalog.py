@@ -1,6 +1,6 @@
 """All queries and their SQL; importing the modules registers them."""
 
-from . import arrays, data, registry, signals
+from . import arrays, axes, data, registry, signals
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "arrays", "data", "registry", "signals"]
+__all__ = ["ORACLES", "QUERIES", "arrays", "axes", "data", "registry", "signals"]

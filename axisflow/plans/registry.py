@@ -154,9 +154,10 @@ def interval_slice(spark, d):
     return I.cut(I.normalize(_spans(spark, d), KEY), KEY, LOW + 86_400, LOW + 864_000)
 
 
-@query("WITH " + _norm("a") + "\nSELECT user_id, start + 100 AS start, stop + 100 AS stop FROM a")
+@query("WITH " + _norm("a") + "\nSELECT user_id, start + 100 AS start, stop + 100 AS stop, CAST(4000000150 AS BIGINT) AS length FROM a")
 def interval_pad(spark, d):
-    return I.shift_pad(I.normalize(_spans(spark, d), KEY), KEY, 100)
+    padded, length = I.pad(I.normalize(_spans(spark, d), KEY), KEY, 4_000_000_000, 100, 50)
+    return padded.withColumn("length", F.lit(length).cast("long"))
 
 
 @query("WITH " + _norm("a") + "\nSELECT user_id, string_agg(start || ':' || stop, ',' ORDER BY start) AS text FROM a GROUP BY user_id")
