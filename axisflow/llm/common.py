@@ -53,5 +53,7 @@ def quoted(df: DataFrame) -> list[str]:
 
 def words_column(text):
     """Lower-cased ASCII letters; maximal runs of digits, letters and non-ASCII characters. Null: no words."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NON_WORD)
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))  # equal for ASCII, where lower is much faster
+    parts = F.split(low, NON_WORD)
     return F.filter(parts, lambda w: w != "")

@@ -54,9 +54,9 @@ def _same(left: str = "", right: str = "") -> Column:
 def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, item_ids (sorted as strings), spans [start, end) in words, for every row of docs(doc_id, text).
 
-    Winnowed fingerprints of documents, with their places alone, meet those of the benchmark's windows. Documents with a meeting are read
-    again; each meeting is extended to the whole window, whose words must be those of a window of the benchmark. Fingerprints (20 bytes a
-    row) and the keys of documents with meetings (16 bytes) are broadcast only up to `broadcast_rows` rows, and shuffled beyond that.
+    Winnowed fingerprints of documents meet those of the benchmark's windows by their hashes. Documents with a meeting are read again for
+    the places of theirs; each is extended to the whole window, whose words must be those of a window of the benchmark. Fingerprints (20
+    bytes a row) and keys of documents with meetings (16 bytes) are broadcast only up to `broadcast_rows` rows, and shuffled beyond that.
     Null texts have no words and no hits; null ids stay null; repeated rows give repeated results; other columns are ignored;
     an empty benchmark hits nothing; an empty table gives no rows.
     """
@@ -68,28 +68,32 @@ def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     short = sorted(r["n"] for r in per_length if r["n"] < WINDOW)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    hashed = keyed.select("doc_id", "tie", words_column(F.col("text")).alias("words")).select("doc_id", "tie", "words", _grams(F.col("words"), GRAM).alias("grams"))
-    full = F.when(F.size("grams") >= SPAN, F.transform(_winnowed(F.col("grams")), lambda x: F.struct(F.lit(WINDOW).alias("n"), x["at"].alias("at"), x["h"].alias("h"))))
-    prints = [F.coalesce(full, F.array().cast("array<struct<n:int,at:int,h:bigint>>"))]
-    prints += [_whole(n) for n in short]
-    mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("h")))  # one row a document, hit or not
-    rows = hashed.select("doc_id", "tie", F.size("words").alias("n_words"), F.explode(F.concat(mark, *prints)).alias("p"))
-    rows = rows.select("doc_id", "tie", "n_words", F.col("p.n").alias("pn"), F.col("p.at").alias("at"), F.col("p.h").alias("h"))
 
-    start = F.col("at") - F.col("off")
+    def hashed(rows: DataFrame) -> DataFrame:
+        words = rows.select("doc_id", "tie", words_column(F.col("text")).alias("words"))
+        return words.select("doc_id", "tie", F.size("words").cast("long").alias("n_words"), "words", _grams(F.col("words"), GRAM).alias("grams"))  # n_words here, lest explode copies the words
+
+    leasts = F.when(F.size("grams") >= SPAN, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("grams") - SPAN), lambda i: F.array_min(F.slice("grams", i + 1, SPAN)))))
+    prints = [F.transform(F.coalesce(leasts, F.array().cast("array<bigint>")), lambda h: F.struct(F.lit(WINDOW).alias("n"), h.alias("h")))]
+    prints += [F.transform(F.array_distinct(_grams(F.col("words"), n)), lambda h, n=n: F.struct(F.lit(n).alias("n"), h.alias("h"))) for n in short]
+    mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("h")))  # one row a document, hit or not
+    rows = hashed(keyed).select("doc_id", "tie", "n_words", F.explode(F.concat(mark, *prints)).alias("p")).select("doc_id", "tie", "n_words", F.col("p.n").alias("pn"), "p.h")
+    known = prints_of.select("n", "fp").distinct()
     met = (F.col("h") == F.col("fp")) & (F.col("pn") == F.col("n"))
-    fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     if small:
-        joined = rows.join(F.broadcast(prints_of), met, "left").where(fits | (F.col("at") == -1)).select("doc_id", "tie", "n_words", start.alias("start"), "n")
+        joined = rows.join(F.broadcast(known), met, "left").where(F.col("fp").isNotNull() | (F.col("pn") == 0)).select("doc_id", "tie", "n_words", "fp")
     else:
-        joined = rows.where("at >= 0").join(prints_of, met).where(fits).select("doc_id", "tie", "n_words", start.alias("start"), "n")
-        joined = joined.unionByName(rows.where("at = -1").select("doc_id", "tie", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n")))
-    joined = materialize(joined)  # a row a document without start, and a row a meeting
-
-    starts = materialize(joined.where("start IS NOT NULL").groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_set(F.struct("start", "n")).alias("starts")))
-    keys = starts.select("d", "t")
+        joined = rows.where("pn > 0").join(known, met).select("doc_id", "tie", "n_words", "fp").unionByName(rows.where("pn = 0").select("doc_id", "tie", "n_words", F.col("h").alias("fp")))
+    joined = materialize(joined)  # a row a document without fp, and a row a meeting
+    keys = materialize(joined.where("fp IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("tie").alias("t")).distinct())
     keys = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
-    again = materialize(keyed.join(keys, _same(), "left_semi"))  # documents with meetings
+    again = materialize(keyed.join(keys, _same(), "left_semi"))  # documents with meetings: where these are
+    full = F.when(F.size("grams") >= SPAN, F.transform(_winnowed(F.col("grams")), lambda x: F.struct(F.lit(WINDOW).alias("n"), x["at"].alias("at"), x["h"].alias("h"))))
+    placed = F.concat(F.coalesce(full, F.array().cast("array<struct<n:int,at:int,h:bigint>>")), *(_whole(n) for n in short))
+    placed = hashed(again).select("doc_id", "tie", "n_words", F.explode(placed).alias("p")).select("doc_id", "tie", "n_words", F.col("p.n").alias("pn"), "p.at", "p.h")
+    start = F.col("at") - F.col("off")
+    starts = placed.join(F.broadcast(prints_of) if small else prints_of, met).where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    starts = materialize(starts.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_set(F.struct(start.alias("start"), "n")).alias("starts")))
     texts = again.join(starts, _same()).select("doc_id", "tie", "starts", words_column(F.col("text")).alias("words"))
     runs = texts.select("doc_id", "tie", F.explode(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["n"]).alias("end"), F.array_join(F.slice("words", s["start"] + 1, s["n"]), " ").alias("w")))).alias("run"))
     hits = materialize(runs.select("doc_id", "tie", "run.*").join(windows.select("w"), "w").distinct())
@@ -102,10 +106,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     covered = hits.groupBy(*by).agg(spans.alias("spans")).withColumn("n_hit", merged["n"].cast("long"))
     of_doc = hits.select(*by, "w").distinct().join(members, "w").groupBy("d", "t").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     of_doc = of_doc.toDF("doc_id", "tie", "item_ids").join(covered, _same()).select("d", "t", "spans", "n_hit", "item_ids")
-    every = joined.where("start IS NULL").groupBy("doc_id", "tie", "n_words").agg(F.count("*").cast("int").alias("times"))
+    every = joined.where("fp IS NULL").groupBy("doc_id", "tie", "n_words").agg(F.count("*").cast("int").alias("times"))
     both = every.join(of_doc, _same(), "left")
     return both.select(
-        "doc_id", F.col("tie").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        "doc_id", F.col("tie").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
 
 
