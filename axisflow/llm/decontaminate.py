@@ -74,8 +74,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int =
         return words.select("doc_id", "tie", F.size("words").cast("long").alias("n_words"), "words", _grams(F.col("words"), GRAM).alias("grams"))  # n_words here, lest explode copies the words
 
     leasts = F.when(F.size("grams") >= SPAN, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("grams") - SPAN), lambda i: F.array_min(F.slice("grams", i + 1, SPAN)))))
-    prints = [F.transform(F.coalesce(leasts, F.array().cast("array<bigint>")), lambda h: F.struct(F.lit(WINDOW).alias("n"), h.alias("h")))]
-    prints += [F.transform(F.array_distinct(_grams(F.col("words"), n)), lambda h, n=n: F.struct(F.lit(n).alias("n"), h.alias("h"))) for n in short]
+    of_length = lambda hashes, n: F.transform(hashes, lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+    prints = [of_length(F.coalesce(leasts, F.array().cast("array<bigint>")), WINDOW), *(of_length(F.array_distinct(_grams(F.col("words"), n)), n) for n in short)]
     mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("h")))  # one row a document, hit or not
     rows = hashed(keyed).select("doc_id", "tie", "n_words", F.explode(F.concat(mark, *prints)).alias("p")).select("doc_id", "tie", "n_words", F.col("p.n").alias("pn"), "p.h")
     known = prints_of.select("n", "fp").distinct()
