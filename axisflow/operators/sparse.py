@@ -95,16 +95,18 @@ def assign(seg: DataFrame, by: list[str], start: int, values: list[float]) -> Da
 
 
 def combine_dense(arrays: DataFrame, seg: DataFrame, by: list[str], func, pad: float = 0.0) -> DataFrame:
-    """(key.., values): func(dense, sparse) place by place, for every key of arrays(key.., values)."""
-    cells = _rows(seg, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("onset", "values"))).alias("_s"))
-    joined = arrays.join(cells, by, "left")
-    at = lambda i: F.get(F.filter("_s", lambda x: (x["onset"] <= i) & (x["onset"] + F.size(x["values"]) > i)), F.lit(0))
-    of = lambda i: F.coalesce(F.get(at(i)["values"], (i - at(i)["onset"]).cast("int")), F.lit(pad))
-    return joined.select(*by, F.transform("values", lambda v, i: func(v, of(i))).alias("values"))
+    """(key.., values): func(dense, sparse), slice by slice, for every key of arrays(key.., values)."""
+    from . import aligned
+
+    return aligned.combine_dense(arrays, aligned.from_arrays(seg, by), by, func, pad)
 
 
 def combine(a: DataFrame, b: DataFrame, by: list[str], func, pads: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """(key.., at, value): func of two sparse arrays at the places that one of them covers; the new pad is func of both pads."""
-    cells = lambda s, name: _rows(s, by).select(*by, "onset", F.posexplode("values").alias("i", name)).select(*by, (F.col("onset") + F.col("i")).alias("at"), name)
-    both = cells(a, "x").join(cells(b, "y"), [*by, "at"], "full")
-    return both.select(*by, "at", func(F.coalesce("x", F.lit(pads[0])), F.coalesce("y", F.lit(pads[1]))).alias("value"))
+    """(key.., at, value): func of two sparse arrays at the places that one of them covers; the new pad is func of both pads.
+
+    aligned.combine gives the same as segments, without a row for each place.
+    """
+    from . import aligned
+
+    found = aligned.combine(aligned.from_arrays(a, by), aligned.from_arrays(b, by), by, func, pads)
+    return found.select(*by, "onset", F.posexplode("values").alias("i", "value")).select(*by, (F.col("onset") + F.col("i")).alias("at"), "value")

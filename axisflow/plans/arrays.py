@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from axisflow.operators import frames, sparse
+from axisflow.operators import aligned, frames, sparse
 from axisflow.operators import intervals as I
 from axisflow.sources import rttm, segments
 
@@ -342,3 +342,58 @@ def sparse_times_dense(spark, d):
 def sparse_combine(spark, d):
     other = sparse.from_intervals(_vectors(spark, d).select("vec_id", F.lit(7).cast("long").alias("start"), F.lit(23).cast("long").alias("stop")), ["vec_id"], 10.0)
     return sparse.combine(_segments(spark, d), other, ["vec_id"], lambda a, b: a + b).withColumn("value", F.round("value", 8))
+
+
+# ---- sparse arrays, combined by aligned segments ----
+
+def _others(spark, d):
+    """A segment a vector of seven values from 2 to 8 on, and one of four from 26 on."""
+    x = _vectors(spark, d)
+    first = x.select("vec_id", (2 + F.col("vec_id") % 7).alias("onset"), F.slice("x", 20, 7).alias("values"))
+    return aligned.from_arrays(first.unionByName(x.select("vec_id", F.lit(26).cast("long").alias("onset"), F.slice("x", 40, 4).alias("values"))), ["vec_id"])
+
+
+_OTHER = "o AS (SELECT vec_id, 2 + vec_id % 7 + i AS p, x[20 + i] AS other FROM e, range(7) r(i) UNION ALL SELECT vec_id, 26 + i, x[40 + i] FROM e, range(4) r(i))"
+_BOTH = ", " + _OTHER + "\nSELECT vec_id, CAST(p AS BIGINT) AS at, round({}, 8) AS value FROM (SELECT * FROM s WHERE value IS NOT NULL) s FULL JOIN o USING (vec_id, p)"
+
+
+def _places(seg):
+    """For comparison only: a row a place."""
+    each = F.when(F.size("values") == F.col("length"), F.col("values")).otherwise(F.array_repeat(F.get("values", F.lit(0)), F.col("length").cast("int")))
+    rows = seg.select("vec_id", "onset", F.posexplode(each).alias("i", "value"))
+    return rows.select("vec_id", (F.col("onset") + F.col("i")).alias("at"), F.round("value", 8).alias("value"))
+
+
+def _mine(spark, d):
+    return aligned.from_arrays(_segments(spark, d), ["vec_id"])
+
+
+@query(_DENSE + _BOTH.format("coalesce(value, 1) - 2 * coalesce(other, 3)"))
+def aligned_difference(spark, d):
+    return _places(aligned.combine(_mine(spark, d), _others(spark, d), ["vec_id"], lambda a, b: a - 2 * b, (1.0, 3.0)))
+
+
+@query(_DENSE + _BOTH.format("greatest(coalesce(value, 0), coalesce(other, 0))"))
+def aligned_maximum(spark, d):
+    return _places(aligned.combine(_mine(spark, d), _others(spark, d), ["vec_id"], F.greatest))
+
+
+@query(_DENSE + "SELECT vec_id, CAST(p AS BIGINT) AS at, round(coalesce(value, 0) * CASE WHEN p BETWEEN 7 AND 22 THEN 10 ELSE 0.5 END, 8) AS value FROM s WHERE value IS NOT NULL OR p BETWEEN 7 AND 22")
+def aligned_constants(spark, d):
+    """Segments times a constant run."""
+    iv = _vectors(spark, d).select("vec_id", F.lit(7).cast("long").alias("start"), F.lit(23).cast("long").alias("stop"))
+    return _places(aligned.combine(_mine(spark, d), aligned.from_intervals(iv, ["vec_id"], 10.0), ["vec_id"], lambda a, b: a * b, (0.0, 0.5)))
+
+
+@query(_DENSE + _BOTH.format("coalesce(value, 0) + coalesce(other, 0)").replace("SELECT vec_id, CAST(p", "SELECT vec_id, c AS channel, CAST(p").replace("coalesce(value, 0) + coalesce(other, 0)", "(coalesce(value, 0) + coalesce(other, 0)) * (c + 1)") + ", range(2) k(c)")
+def aligned_channels(spark, d):
+    """Two axes: the channels are the values and their double."""
+    two = lambda s: s.withColumn("values", F.array("values", F.transform("values", lambda v: 2 * v)))
+    found = aligned.combine(two(_mine(spark, d)), two(_others(spark, d)), ["vec_id"], lambda a, b: a + b, axes=2)
+    each = found.select("vec_id", "onset", F.posexplode("values").alias("channel", "v")).select("vec_id", "onset", F.col("channel").cast("long").alias("channel"), F.posexplode("v").alias("i", "value"))
+    return each.select("vec_id", "channel", (F.col("onset") + F.col("i")).alias("at"), F.round("value", 8).alias("value"))
+
+
+@query(_DENSE + "SELECT vec_id, CAST(p - 3 AS INTEGER) AS at, round(coalesce(value * value, 4), 8) AS value FROM s WHERE p BETWEEN 3 AND 32")
+def aligned_square_slice(spark, d):
+    return _listed(aligned.dense(aligned.scalar(_mine(spark, d), ["vec_id"], lambda v: v * v), ["vec_id"], 3, 33, 4.0)).withColumn("value", F.round("value", 8))
