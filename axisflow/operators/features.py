@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import spectral
 from .blocks import on_blocks
+from .ranges import free
 
 EPS = 1e-18
 
@@ -126,7 +127,7 @@ def inverse_mel(bands: Column, log: bool = True, **of) -> Column:
     return F.transform(weighted(flat, np.linalg.pinv(unit_bank(**of))), lambda f: F.transform(f, lambda v: F.greatest(v, F.lit(0.0))))
 
 
-def fbank(df: DataFrame, column: str, sample_rate: float = 16_000, window_length: int = 400, shift: int = 160, filters: int = 23, size: int = 512, lowest: float = 0.0, highest: float | None = None, p: float = 0.95, window_name: str = "hamming", denoise: bool = False, log: bool = False, out: str = "bands") -> DataFrame:
+def fbank(df: DataFrame, column: str, sample_rate: float = 16_000, window_length: int = 400, shift: int = 160, filters: int = 23, size: int = 512, lowest: float = 0.0, highest: float | None = None, p: float = 0.97, window_name: str = "hamming", denoise: bool = False, log: bool = False, out: str = "bands") -> DataFrame:
     """df with mel bands a frame: preemphasis with offset compensation, spectrum without fading, power / size, unit filters; in one pass."""
     bank, w = unit_bank(sample_rate=sample_rate, size=size, filters=filters, lowest=lowest, highest=highest).T, spectral.window(window_name, window_length)
 
@@ -152,8 +153,9 @@ def mfcc(df: DataFrame, column: str, cepstra: int = 13, lifter: int = 22, filter
     matrix = np.cos(np.pi * k * (2 * n + 1) / (2 * filters)) * np.sqrt(np.where(k == 0, 1, 2) / filters)
     if lifter > 0:
         matrix = matrix * (1 + lifter / 2 * np.sin(np.pi * k / lifter))
-    rows = fbank(df, column, filters=filters, log=True, out="_bands", **of)
-    return rows.withColumn(out, weighted(F.col("_bands"), matrix)).drop("_bands")
+    bands, = free([*df.columns, out], "bands")
+    rows = fbank(df, column, filters=filters, log=True, out=bands, **of)
+    return rows.withColumn(out, weighted(F.col(bands), matrix)).drop(bands)
 
 
 def delta_taps(width: int = 9, order: int = 1) -> np.ndarray:
@@ -180,11 +182,17 @@ def velocity_acceleration(cepstra: Column) -> Column:
     return F.transform(cepstra, lambda f: F.concat(f, delta(f), delta(f, order=2)))
 
 
-def modulation(cepstra: Column, length: int = 32, shift: int = 8, window_name: str = "hamming") -> Column:
-    """Magnitudes of the short-time spectrum along the frames of each coefficient: block, bin, coefficient."""
+def _runs(n: Column, size: int, step: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil((n - size) / step).cast("int") + 1)
+
+
+def modulation(cepstra: Column, length: int = 16, shift: int = 8, window_name: str = "hamming") -> Column:
+    """Magnitudes of the short-time spectrum along the frames of each coefficient: block, bin, coefficient.
+
+    The last block is filled with zeros. No frames give no blocks.
+    """
     w = spectral.window(window_name, length)
     turn = lambda b, use: F.array(*(F.lit(float(v)) for v in w * use(2 * np.pi * b * np.arange(length) / length)))
-    blocks = F.greatest(F.lit(1), F.ceil((F.size(cepstra) - length) / shift).cast("int") + 1)
 
     def value(block, b, i):
         part = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.coalesce(F.get(F.get(cepstra, block * shift + k), i), F.lit(0.0)))
@@ -192,4 +200,25 @@ def modulation(cepstra: Column, length: int = 32, shift: int = 8, window_name: s
         return F.sqrt(total(np.cos) * total(np.cos) + total(np.sin) * total(np.sin))
 
     each = F.sequence(F.lit(0), F.size(F.get(cepstra, F.lit(0))) - 1)
-    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda block: F.array(*(F.transform(each, partial(value, block, b)) for b in range(length // 2 + 1))))
+    blocks = F.transform(F.sequence(F.lit(0), _runs(F.size(cepstra), length, shift) - 1), lambda block: F.array(*(F.transform(each, partial(value, block, b)) for b in range(length // 2 + 1))))
+    return F.when(F.size(cepstra) == 0, F.array().cast("array<array<array<double>>>")).when(F.size(cepstra) > 0, blocks)
+
+
+def average_blocks(blocks: Column, length: int, shift: int) -> Column:
+    """Means over runs of `length` blocks (bin, coefficient), one every `shift`; the last run is filled with zeros. `blocks` should be a stored column."""
+    if shift > length:
+        raise ValueError("averages must not leave blocks out")
+    add = lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.zip_with(x, y, lambda p, q: F.zip_with(p, q, lambda u, v: u + v)))
+    part = lambda run: F.slice(blocks, run * shift + 1, length)
+    total = lambda run: F.aggregate(part(run), F.lit(None).cast("array<array<double>>"), add)
+    mean = lambda run: F.transform(total(run), lambda b: F.transform(b, lambda v: v / length))
+    found = F.transform(F.sequence(F.lit(0), _runs(F.size(blocks), length, shift) - 1), mean)
+    return F.when(F.size(blocks) == 0, F.slice(blocks, 1, 0)).when(F.size(blocks) > 0, found)
+
+
+def modmfcc(df: DataFrame, column: str, block: int = 16, step: int = 8, block_window: str = "hamming", average: int = 1, average_step: int = 1, cepstra: int = 30, filters: int = 40, out: str = "modulation", **of) -> DataFrame:
+    """df with the modulation spectrum of the signals' mel cepstra, averaged over runs of blocks if `average` is over 1; `of` goes to mfcc."""
+    held, blocks = free([*df.columns, out], "cepstra", "blocks")
+    rows = mfcc(df, column, cepstra, filters=filters, out=held, **of)
+    rows = rows.withColumn(blocks, modulation(F.col(held), block, step, block_window))
+    return rows.withColumn(out, average_blocks(F.col(blocks), average, average_step) if average > 1 else F.col(blocks)).drop(held, blocks)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import on_blocks
+
 
 MODES = ("constant", "edge", "reflect", "symmetric", "wrap")
 
@@ -92,9 +97,65 @@ def kernel(x: Column, size: int, how: str, padding: str | None = "edge", positio
         "median": lambda w: F.get(F.array_sort(w), F.lit(size // 2)),
     }[how]
     if padding is not None and position == "pre":
-        return F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: fold(_around(x, i, size // 2)))
-    inner = F.transform(segment_axis(x, size, 1), fold)
-    return inner if padding is None else pad_axis(inner, size // 2, size // 2, padding)
+        found = F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: fold(_around(x, i, size // 2)))
+    else:
+        found = F.transform(segment_axis(x, size, 1), fold)
+        found = found if padding is None else pad_axis(found, size // 2, size // 2, padding)
+    return F.when(F.size(x) == 0, F.slice(x, 1, 0)).when(F.size(x) > 0, found)
+
+
+def _extrema(x: np.ndarray, size: int, fold: np.ufunc) -> np.ndarray:
+    """Of every `size` neighbours in each row, by running folds from both ends of blocks of `size`: three steps a value for any size."""
+    n = x.shape[1]
+    filled = np.concatenate([x, np.repeat(x[:, -1:], -n % size, 1)], 1).reshape(len(x), -1, size)
+    ahead = fold.accumulate(filled, 2).reshape(len(x), -1)
+    back = fold.accumulate(filled[:, :, ::-1], 2)[:, :, ::-1].reshape(len(x), -1)
+    return fold(back[:, : n - size + 1], ahead[:, size - 1 : n])
+
+
+def _medians(row: np.ndarray, size: int) -> np.ndarray:
+    """Of every `size` neighbours, from a sorted window that one value leaves and one enters at a time; NaN wherever one is inside."""
+    bad = np.isnan(row)
+    values = np.where(bad, np.inf, row).tolist()
+    held = sorted(values[:size])
+    out = [held[size // 2]]
+    for old, new in zip(values, values[size:], strict=False):
+        del held[bisect.bisect_left(held, old)]
+        bisect.insort(held, new)
+        out.append(held[size // 2])
+    seen = np.concatenate([[0], np.cumsum(bad)])
+    return np.where(seen[size:] > seen[:-size], np.nan, out)
+
+
+def sliding(df: DataFrame, column: str, size: int, how: str, padding: str | None = "edge", position: str = "pre", out: str = "values") -> DataFrame:
+    """df with kernel()'s result for windows of any odd size, in time that follows the signal's length and not the window's.
+
+    max and min by running folds over blocks, mean by running sums (exact to rounding), median by a sorted window. `pre` repeats border
+    values first, `post` repeats the results' border; padding None gives the shorter result, empty if the signal is shorter than the
+    window, as `post` does then. Null signals count as empty; empty ones stay empty; a NaN makes every window that holds it NaN.
+    """
+    if size < 1 or size % 2 == 0:
+        raise ValueError("the size must be odd")
+    half = size // 2
+
+    def run(x: np.ndarray) -> tuple[np.ndarray]:
+        if x.shape[1] and padding is not None and position == "pre":
+            x = np.pad(x, ((0, 0), (half, half)), padding)
+        if x.shape[1] < size:
+            return (np.zeros((len(x), 0)),)
+        if how in ("max", "min"):
+            y = _extrema(x, size, np.maximum if how == "max" else np.minimum)
+        elif how == "median":
+            y = np.stack([_medians(r, size) for r in x])
+        elif np.isfinite(x).all():
+            base = x.mean(1, keepdims=True)  # sums of what is left stay small
+            total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x - base, 1)], 1)
+            y = base + (total[:, size:] - total[:, :-size]) / size
+        else:
+            y = np.lib.stride_tricks.sliding_window_view(x, size, axis=1).mean(2)
+        return (np.pad(y, ((0, 0), (half, half)), padding) if padding is not None and position == "post" else y,)
+
+    return on_blocks(df, column, run, {out: 1})
 
 
 def roll_zeropad(x: Column, by: int) -> Column:
@@ -108,7 +169,8 @@ def context_frames(x: Column, left: int, right: int, step: int = 1, mode: str =
     """For every `step`-th value or frame of x the list of its neighbours from `left` before to `right` behind it."""
     n = F.size(x)
     at = lambda i: F.get(x, i) if mode == "constant" else F.get(x, _source(i, n, mode))
-    return F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda t: F.transform(F.sequence(t - left, t + right), lambda i: F.when((i >= 0) & (i < n), F.get(x, i)).otherwise(at(i))))
+    found = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda t: F.transform(F.sequence(t - left, t + right), lambda i: F.when((i >= 0) & (i < n), F.get(x, i)).otherwise(at(i))))
+    return F.when(n == 0, F.transform(F.slice(x, 1, 0), lambda v: F.array(v))).when(n > 0, found)
 
 
 def stack_context(x: Column, left: int, right: int, step: int = 1, mode: str = "symmetric") -> Column:

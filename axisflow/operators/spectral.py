@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import on_blocks
+from .ranges import free
 
 
 def _cosines(*weights: float) -> Callable[[int], np.ndarray]:
@@ -166,36 +167,46 @@ def phase_features(df: DataFrame, size: int, shift: int) -> DataFrame:
     return rows.withColumn("phase_delta", steps("phase", True)).withColumn("phase_delta2", steps("phase_delta", False))
 
 
-def griffin_lim(df: DataFrame, column: str, size: int = 1024, shift: int = 256, window_name: str = "blackman", iterations: int = 100, alpha: float = 0.0, seed: int = 0) -> DataFrame:
-    """df with `signal`: a signal whose spectrum has nearly the magnitudes of that of `column`, from random phases; alpha > 0 adds momentum."""
-    w = window(window_name, size)
-    dual, wide = dual_window(w, shift), size - shift
+def griffin_lim(df: DataFrame, column: str, size: int = 1024, shift: int = 256, window_name: str = "blackman", fading: str | None = "full", iterations: int = 100, alpha: float = 0.0, phases: str | None = None, seed: int = 0, out: str = "signal") -> DataFrame:
+    """df with a signal whose spectrum has nearly the magnitudes in `column` (frames of size // 2 + 1 bins, as of stft with the same windows).
 
-    def run(x: np.ndarray) -> tuple[np.ndarray]:
-        n = x.shape[1]
-        frames = max(1, -(-(n + 2 * wide - size) // shift) + 1)
-        total = (frames - 1) * shift + size
+    Each iteration gives the magnitudes the phases found so far, makes a signal of that, and takes the signal's spectrum; alpha over 0
+    carries each change on, as the fast variant does. Phases begin with those of column `phases` (same shape), or with random ones by
+    `seed`. The signal of the last iteration is returned, without the fading; no frames, or nulls, give an empty one.
+    """
+    w, bins = window(window_name, size), size // 2 + 1
+    dual, (before, after) = dual_window(w, shift), fading_width(size, shift, fading)
+    flat, = free([*df.columns, out], "flat")
 
-        def forward(y: np.ndarray) -> np.ndarray:
-            y = np.pad(y, ((0, 0), (wide, total - wide - y.shape[1])))
-            return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(y, size, axis=1)[:, ::shift] * w, axis=-1)
+    def run(x: np.ndarray) -> tuple[np.ndarray]:
+        x = x.reshape(len(x), 2 if phases else 1, -1, bins)
+        frames = x.shape[2]
+        if not frames:
+            return (np.zeros((len(x), 0)),)
+        loud, total = x[:, 0], (frames - 1) * shift + size
+        angle = x[:, 1] if phases else 2 * np.pi * np.random.default_rng(seed).random(loud.shape[1:])
 
         def back(s: np.ndarray) -> np.ndarray:
             parts, y = np.fft.irfft(s, size) * dual, np.zeros((len(s), total))
             for f in range(frames):
                 y[:, f * shift : f * shift + size] += parts[:, f]
-            return y[:, wide : wide + n]
-
-        loud = np.abs(forward(x))
-        s = loud * np.exp(2j * np.pi * np.random.default_rng(seed).random(loud.shape))
-        last = s
-        for _ in range(iterations):
-            new = forward(back(s))
-            step = new + alpha * (new - last)
-            last, s = new, loud * np.exp(1j * np.angle(step))
-        return (back(s),)
-
-    return on_blocks(df, column, run, {"signal": 1})
+            return y[:, before : total - after]
+
+        def forward(y: np.ndarray) -> np.ndarray:
+            y = np.pad(y, ((0, 0), (before, after)))
+            return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(y, size, axis=1)[:, ::shift] * w, axis=-1)
+
+        last = None
+        for i in range(iterations):
+            y = back(loud * np.exp(1j * angle))
+            if i + 1 < iterations:
+                new = forward(y)
+                angle, last = np.angle(new if last is None else new + alpha * (new - last)), new
+        return (y,)
+
+    parts = [column, *([phases] if phases else [])]
+    rows = df.withColumn(flat, F.flatten(F.concat(*(F.coalesce(F.col(c), F.array().cast("array<array<double>>")) for c in parts))))
+    return on_blocks(rows, flat, run, {out: 1}).drop(flat)
 
 
 def dct2(x: Column, n: int) -> Column:

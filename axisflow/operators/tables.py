@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import free, joined
+
 
 def groupby_ordered(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """The values of each group as one list in a stated order."""
@@ -78,6 +80,7 @@ def any_in(x: Column, y: Column) -> Column:
 
 
 def normalize_mean_variance(df: DataFrame, by: list[str], value: str, out: str, eps: float = 1e-6) -> DataFrame:
-    """df with (value - mean) / (deviation + eps) within each key: moments by partial aggregation and a join, not a window."""
-    moments = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_deviation"))
-    return df.join(moments, by).withColumn(out, (F.col(value) - F.col("_mean")) / (F.col("_deviation") + eps)).drop("_mean", "_deviation")
+    """df with (value - mean) / (deviation + eps) within each key: moments by partial aggregation and a join, not a window; null keys are one key."""
+    mean, deviation = free(df.columns, "mean", "deviation")
+    moments = df.groupBy(*by).agg(F.avg(value).alias(mean), F.stddev_pop(value).alias(deviation))
+    return joined(df, moments, by).withColumn(out, (F.col(value) - F.col(mean)) / (F.col(deviation) + eps)).drop(mean, deviation)

@@ -36,10 +36,11 @@ def set_tests(spark, d):
         tables.any_in(F.col("f"), F.array(F.lit("A"), F.lit("R"))).alias("meets"))
 
 
-@query("SELECT * FROM nation")
+@query("SELECT *, 'p_retailprice' AS named, CAST(1 AS INTEGER) AS one FROM nation")
 def squeeze_columns(spark, d):
-    _, rest = tables.squeeze(_t(spark, d, "nation").withColumn("same", F.lit(1)))
-    return rest
+    """The constants come back as what the table lost."""
+    same, rest = tables.squeeze(_t(spark, d, "nation").withColumns({"one": F.lit(1), "named": F.lit("p_retailprice")}))
+    return rest.select("*", *(F.lit(v).alias(c) for c, v in same.items()))
 
 
 # ---- nested ----
@@ -72,9 +73,9 @@ def nested_paths(spark, d):
     t = _tree(spark, d)
     view = nested.FlatView(t, "v")
     view["name"] = F.upper("v.name")
-    return view.df.select(
-        "id", view["region.name"].alias("region"), nested.get_by_path(t, "v", "region.size", default=F.lit("none")).alias("missing"),
-        F.initcap(nested.get_by_path(view.df, "v", "name.first", early=True)).alias("early"), F.col("v.name").alias("changed"), F.lit(len(view)).alias("leaves")).join(t.select("id", F.col("v.name").alias("_n")), "id").withColumn("early", F.col("_n")).drop("_n")
+    early = nested.get_by_path(t, "v", "name.first", early=True)
+    both = t.select("id", early.alias("early"), nested.get_by_path(t, "v", "region.size", default=F.lit("none")).alias("missing"))
+    return view.df.select("id", view["region.name"].alias("region"), F.col("v.name").alias("changed"), F.lit(len(view)).alias("leaves")).join(both, "id")
 
 
 @query(_TREE + "SELECT id, 'name' AS path, name AS value FROM t UNION ALL SELECT id, 'region.key', CAST(key AS VARCHAR) FROM t UNION ALL SELECT id, 'region.name', region FROM t")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisflow.functions import vectors as V
-from axisflow.operators import features, frames, sparse, spectral, tables
+from axisflow.operators import features, frames, nested, sparse, spectral, tables
 from axisflow.operators import intervals as I
 from axisflow.sources import rttm
 from axisflow.streaming import windows
@@ -230,6 +230,31 @@ def kernel_median(spark, d):
     return _kernel(spark, d, "median")
 
 
+def _sliding(spark, d, how):
+    rows = frames.sliding(_vectors(spark, d), "x", 31, how)
+    return rows.select("vec_id", F.posexplode("values").alias("at", "value")).withColumn("value", F.round("value", 8))
+
+
+@query(_kernel_sql("max").replace("range(-2, 3)", "range(-15, 16)"))
+def sliding_max(spark, d):
+    return _sliding(spark, d, "max")
+
+
+@query(_kernel_sql("min").replace("range(-2, 3)", "range(-15, 16)"))
+def sliding_min(spark, d):
+    return _sliding(spark, d, "min")
+
+
+@query(_kernel_sql("avg").replace("range(-2, 3)", "range(-15, 16)"))
+def sliding_mean(spark, d):
+    return _sliding(spark, d, "mean")
+
+
+@query(_kernel_sql("median").replace("range(-2, 3)", "range(-15, 16)"))
+def sliding_median(spark, d):
+    return _sliding(spark, d, "median")
+
+
 def _each(spark, d, f):
     return _vectors(spark, d).select("vec_id", F.posexplode(f(F.col("x"))).alias("at", "value")).withColumn("value", F.round("value", 8))
 
@@ -292,6 +317,24 @@ def dtw_cost(spark, d):
     return a.join(b, "vec_id").select("vec_id", F.round(spectral.dtw(F.col("x"), F.col("y"))["cost"], 6).alias("cost"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.vec_id, a.x, b.x AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+r(vec_id, i, j, d) AS (
+  SELECT vec_id, 0, CAST(j AS INTEGER), CASE WHEN j = 0 THEN 0e0 ELSE 1e300 END FROM p, range(65) t(j)
+  UNION ALL
+  SELECT vec_id, i, j, CASE WHEN j = 0 THEN 1e300 ELSE s + min(m - s + c) OVER (PARTITION BY vec_id ORDER BY j ROWS UNBOUNDED PRECEDING) END
+  FROM (SELECT vec_id, i, j, c, CASE WHEN j = 0 THEN 1e300 ELSE m END AS m, sum(c + CASE WHEN j = 0 THEN 0 ELSE 0.1 END) OVER (PARTITION BY vec_id ORDER BY j ROWS UNBOUNDED PRECEDING) AS s
+        FROM (SELECT r.vec_id, r.i + 1 AS i, r.j, CASE WHEN r.j = 0 THEN 0e0 ELSE abs(p.x[r.i + 1] - p.y[r.j]) END AS c,
+                     least(r.d + 0.2, coalesce(lag(r.d) OVER (PARTITION BY r.vec_id ORDER BY r.j), 1e300) + 0.05) AS m
+              FROM r JOIN p USING (vec_id) WHERE r.i < 64)))
+SELECT vec_id, round(d, 6) AS cost FROM r WHERE i = 64 AND j = 64""")
+def dtw_penalties(spark, d):
+    """Steps that repeat a value of the first or second signal, or go along both, cost 0.1, 0.2 and 0.05 more."""
+    a = _vectors(spark, d)
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return a.join(b, "vec_id").select("vec_id", F.round(spectral.dtw(F.col("x"), F.col("y"), penalty=(0.1, 0.05, 0.2))["cost"], 6).alias("cost"))
+
+
 # ---- vectors and scalars ----
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
@@ -349,7 +392,8 @@ def all_unique(spark, d):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def get_by_path(spark, d):
-    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    rows = _t(spark, d, "events").withColumn("tree", F.from_json("props", "k int"))
+    return rows.select("event_id", nested.get_by_path(rows, "tree", "k").alias("k"))
 
 
 @query("""WITH v AS (SELECT 'p_size' AS name, CAST(p_size AS VARCHAR) AS value, p_partkey FROM part UNION ALL SELECT 'p_brand', p_brand, p_partkey FROM part),

@@ -130,7 +130,7 @@ def mel_filter_bank(spark, d):
 
 
 _FB = dict(sample_rate=16_000, window_length=16, shift=8, size=16, window_name="hamming")
-_FRAMES = f""", y AS (SELECT vec_id, i, sum(pow(0.999, i - j) * (x[j + 1] - 1.95 * coalesce(CASE WHEN j >= 1 THEN x[j] END, 0) + 0.95 * coalesce(CASE WHEN j >= 2 THEN x[j - 1] END, 0))) AS y
+_FRAMES = f""", y AS (SELECT vec_id, i, sum(pow(0.999, i - j) * (x[j + 1] - 1.97 * coalesce(CASE WHEN j >= 1 THEN x[j] END, 0) + 0.97 * coalesce(CASE WHEN j >= 2 THEN x[j - 1] END, 0))) AS y
   FROM e, range(64) r(i), range(64) s(j) WHERE j <= i GROUP BY vec_id, i),
 t AS (SELECT vec_id, f, b, y * {HAMMING.format(n=16)} AS v, 2 * pi() * b * k / 16 AS w FROM range(7) q(f), range(9) r(b), range(16) s(k), y WHERE y.i = f * 8 + k),
 p AS (SELECT vec_id, f, b, (pow(sum(v * cos(w)), 2) + pow(sum(v * sin(w)), 2)) / 16 AS power FROM t GROUP BY vec_id, f, b)"""
@@ -170,12 +170,15 @@ def mfcc(spark, d):
 
 
 @query(_MFCC + """,
-d AS (SELECT a.vec_id, a.f, a.n, sum(k * b.v) / 60 AS v FROM c a, range(-4, 5) q(k), c b WHERE b.vec_id = a.vec_id AND b.f = a.f AND b.n = least(greatest(a.n + k, 0), 4) GROUP BY a.vec_id, a.f, a.n)
+d AS (SELECT a.vec_id, a.f, a.n, sum(k * b.v) / 60 AS v FROM c a, range(-4, 5) q(k), c b WHERE b.vec_id = a.vec_id AND b.f = a.f AND b.n = least(greatest(a.n + k, 0), 4) GROUP BY a.vec_id, a.f, a.n),
+a AS (SELECT a.vec_id, a.f, a.n, sum((4 - k) * (4 - l) / 3600e0 * CASE WHEN a.n + 4 - k - l < -9 THEN 0 ELSE b.v END) AS v FROM c a, range(9) q(k), range(9) r(l), c b
+  WHERE b.vec_id = a.vec_id AND b.f = a.f AND b.n = least(greatest(a.n + 4 - k - l, 0), 4) GROUP BY a.vec_id, a.f, a.n)
 SELECT vec_id, CAST(f AS INTEGER) AS frame, CAST(n AS INTEGER) AS at, round(v, 5) + 0e0 AS value FROM c
-UNION ALL SELECT vec_id, CAST(f AS INTEGER), CAST(5 + n AS INTEGER), round(v, 5) + 0e0 FROM d""")
+UNION ALL SELECT vec_id, CAST(f AS INTEGER), CAST(5 + n AS INTEGER), round(v, 5) + 0e0 FROM d
+UNION ALL SELECT vec_id, CAST(f AS INTEGER), CAST(10 + n AS INTEGER), round(v, 5) + 0e0 FROM a""")
 def mfcc_velocity(spark, d):
-    rows = _cepstra(spark, d).withColumn("v", features.velocity_acceleration(F.col("cepstra")))
-    return _cells(rows, "v", 5).where("at < 10")
+    """Coefficients, velocity and acceleration."""
+    return _cells(_cepstra(spark, d).withColumn("v", features.velocity_acceleration(F.col("cepstra"))), "v", 5)
 
 
 @query(_MFCC + f""", u AS (SELECT vec_id, block, n, b, v * {HAMMING.format(n=4)} AS v, 2 * pi() * b * k / 4 AS w FROM range(3) r(block), range(3) q(b), range(4) s(k), c WHERE c.f = block * 2 + k)
@@ -183,24 +186,57 @@ SELECT vec_id, CAST(block AS INTEGER) AS block, CAST(b AS INTEGER) AS bin, CAST(
 def modulation_spectrum(spark, d):
     rows = _cepstra(spark, d).select("vec_id", F.posexplode(features.modulation(F.col("cepstra"), 4, 2)).alias("block", "v"))
     rows = rows.select("vec_id", "block", F.posexplode("v").alias("bin", "w")).select("vec_id", "block", "bin", F.posexplode("w").alias("at", "value"))
-    return rows.where("block < 3").withColumn("value", F.round("value", 5))
+    return rows.withColumn("value", F.round("value", 5))
+
+
+@query(_MFCC + f""", u AS (SELECT vec_id, block, n, b, v * {HAMMING.format(n=4)} AS v, 2 * pi() * b * k / 4 AS w FROM range(4) r(block), range(3) q(b), range(4) s(k), c WHERE c.f = block + k),
+l AS (SELECT vec_id, block, b, n, sqrt(pow(sum(v * cos(w)), 2) + pow(sum(v * sin(w)), 2)) AS v FROM u GROUP BY vec_id, block, b, n)
+SELECT vec_id, CAST(g AS INTEGER) AS block, CAST(b AS INTEGER) AS bin, CAST(n AS INTEGER) AS at, round(sum(CASE WHEN l.block BETWEEN 2 * g AND 2 * g + 2 THEN v ELSE 0 END) / 3, 5) AS value FROM l, range(2) z(g) GROUP BY vec_id, g, b, n""")
+def modulation_averaged(spark, d):
+    """Means of three blocks, every second one."""
+    rows = features.modmfcc(_vectors(spark, d), "x", 4, 1, average=3, average_step=2, cepstra=5, filters=6, lifter=22, **_FB)
+    rows = rows.select("vec_id", F.posexplode("modulation").alias("block", "v")).select("vec_id", "block", F.posexplode("v").alias("bin", "w")).select("vec_id", "block", "bin", F.posexplode("w").alias("at", "value"))
+    return rows.withColumn("value", F.round("value", 5))
 
 
 @query(_X + """, t AS (SELECT vec_id, f, b, x[f * 4 + k + 1] * """ + HANN.format(n=16) + """ AS v, 2 * pi() * b * k / 16 AS w FROM e, range(13) q(f), range(1, 8) r(b), range(16) s(k)),
 a AS (SELECT vec_id, f, b, atan2(-sum(v * sin(w)), sum(v * cos(w))) - 2 * pi() * f * b * 4 / 16 AS a FROM t GROUP BY vec_id, f, b),
-p AS (SELECT vec_id, f, b, atan2(sin(a), cos(a)) AS p FROM a)
-SELECT vec_id, CAST(f AS INTEGER) AS frame, CAST(b AS INTEGER) AS bin, round(cos(p), 5) + 0e0 AS cosine,
-round(cos(coalesce(p - lag(p) OVER (PARTITION BY vec_id, b ORDER BY f), 0)), 5) + 0e0 AS change FROM p""")
+p AS (SELECT vec_id, f, b, atan2(sin(a), cos(a)) AS p FROM a),
+d AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY vec_id, b ORDER BY f), 0) AS d FROM p),
+w AS (SELECT *, atan2(sin(d), cos(d)) AS w FROM d)
+SELECT vec_id, CAST(f AS INTEGER) AS frame, CAST(b AS INTEGER) AS bin, round(cos(p), 5) + 0e0 AS cosine, round(cos(d), 5) + 0e0 AS change,
+round(cos(coalesce(w - lag(w) OVER (PARTITION BY vec_id, b ORDER BY f), 0)), 5) + 0e0 AS change2 FROM w""")
 def phase_features(spark, d):
+    """Cosines, since angles near pi may round to either side."""
     rows = spectral.stft(_vectors(spark, d), "x", 16, 4, "hann", fading=None, pad=False)
-    rows = spectral.phase_features(rows, 16, 4).select("vec_id", F.posexplode(F.arrays_zip("phase", "phase_delta")).alias("frame", "f"))
-    rows = rows.select("vec_id", "frame", F.posexplode(F.arrays_zip(F.col("f.phase").alias("p"), F.col("f.phase_delta").alias("d"))).alias("bin", "v")).where("bin BETWEEN 1 AND 7")
-    return rows.select("vec_id", "frame", "bin", (F.round(F.cos("v.p"), 5) + 0.0).alias("cosine"), (F.round(F.cos("v.d"), 5) + 0.0).alias("change"))
+    rows = spectral.phase_features(rows, 16, 4).select("vec_id", F.posexplode(F.arrays_zip("phase", "phase_delta", "phase_delta2")).alias("frame", "f"))
+    rows = rows.select("vec_id", "frame", F.posexplode(F.arrays_zip(F.col("f.phase").alias("p"), F.col("f.phase_delta").alias("d"), F.col("f.phase_delta2").alias("e"))).alias("bin", "v")).where("bin BETWEEN 1 AND 7")
+    return rows.select("vec_id", "frame", "bin", *((F.round(F.cos(f"v.{c}"), 5) + 0.0).alias(n) for c, n in (("p", "cosine"), ("d", "change"), ("e", "change2"))))
+
+
+def _loud(spark, d):
+    rows = spectral.stft(_vectors(spark, d), "x", 16, 4)
+    return rows.withColumn("loud", F.zip_with("re", "im", lambda a, b: F.zip_with(a, b, lambda p, q: F.sqrt(p * p + q * q))))
 
 
 @query()
 def griffin_lim(spark, d):
-    return _values(spectral.griffin_lim(_vectors(spark, d), "x", 16, 4, iterations=20, alpha=0.9), "signal")
+    """From magnitudes alone."""
+    return _values(spectral.griffin_lim(_loud(spark, d), "loud", 16, 4, iterations=20, alpha=0.9), "signal")
+
+
+@query(_X + f""", w AS (SELECT k, {BLACKMAN.format(n=16)} AS w FROM range(16) s(k)),
+g AS (SELECT a.k, a.w / sum(b.w * b.w) AS dual FROM w a JOIN w b ON (a.k - b.k) % 4 = 0 GROUP BY a.k, a.w),
+t AS (SELECT vec_id, f, b, coalesce(CASE WHEN f * 4 + k >= 12 THEN x[f * 4 + k - 11] END, 0) * w AS v, 2 * pi() * b * k / 16 AS a FROM e, range(19) q(f), range(9) r(b), w),
+s AS (SELECT vec_id, f, b, sqrt(pow(sum(v * cos(a)), 2) + pow(sum(v * sin(a)), 2)) AS loud FROM t GROUP BY vec_id, f, b),
+y AS (SELECT vec_id, f * 4 + g.k - 12 AS i, dual / 16 * sum((CASE WHEN b IN (0, 8) THEN 1 ELSE 2 END) * loud * cos(2 * pi() * b * g.k / 16 + CASE WHEN b IN (0, 8) THEN 0 ELSE 0.3 * b + f END)) AS v FROM s, g GROUP BY vec_id, f, g.k, dual)
+SELECT vec_id, CAST(i AS INTEGER) AS at, round(sum(v), 6) + 0e0 AS value FROM y WHERE i BETWEEN 0 AND 63 GROUP BY vec_id, i""")
+def griffin_lim_step(spark, d):
+    """One iteration from phases of 0.3 a bin and 1 a frame."""
+    phase = F.transform("loud", lambda f, t: F.transform(f, lambda v, b: F.when((b == 0) | (b == 8), 0.0).otherwise(0.3 * b + t)))
+    rows = spectral.griffin_lim(_loud(spark, d).withColumn("angle", phase), "loud", 16, 4, iterations=1, phases="angle")
+    return rows.select("vec_id", F.posexplode("signal").alias("at", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
 
 
 @query("""WITH f AS (SELECT DISTINCT p_retailprice AS f FROM part)
