@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMIT = 4_000_000  # rows of a key that one task takes in one piece
@@ -27,17 +27,21 @@ def free(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder of spark.checkpoint.dir (in local mode, a temporary one if that is unset)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share (in local mode, a temporary one if that is unset)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="axisflow-")
-    path = f"{base.rstrip('/')}/axisflow-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/axisflow-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

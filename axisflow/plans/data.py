@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from axisflow.operators import nested, tables
-from axisflow.sources import audio, files
+from axisflow.sources import audio, files, nested_files
 
 from .registry import _X, _t, _vectors, query
 
@@ -163,3 +163,25 @@ def update_table(spark, d):
     n = _t(spark, d, "nation")
     changes = n.select("n_nationkey", F.upper("n_name").alias("n_name"), F.length("n_name").cast("long").alias("size"))
     return files.update_table(n, changes, ["n_nationkey"], allow_overwrite=True)
+
+
+def _shared_folder(spark):
+    from axisflow.operators.ranges import shared_path
+
+    return shared_path(spark)
+
+
+@query(_X + """SELECT vec_id, 'whole' AS part, CAST(i AS INTEGER) AS at, x[i + 1] AS value FROM e, range(64) r(i)
+UNION ALL SELECT vec_id, 'piece', CAST(i AS INTEGER), 2 * x[i + 9] FROM e, range(16) r(i)
+UNION ALL SELECT vec_id, 'next', CAST(i AS INTEGER), y.x[i + 1] FROM (SELECT a.vec_id, b.x FROM e a JOIN e b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM e)) y, range(4) r(i)""")
+def audio_nested_load(spark, d):
+    """Every vector becomes an audio file of two channels; nested columns of their paths and parts of them are read back."""
+    folder, rows = _shared_folder(spark), _vectors(spark, d)
+    wide = rows.select(F.format_string("%d.wav", F.col("vec_id")).alias("name"), F.lit(8_000).alias("sample_rate"), F.array("x", F.transform("x", lambda v: 2 * v)).alias("channels"))
+    nested_files.write_audio(wide, folder, "float64")
+    n = rows.count()
+    path = lambda i, tail="": F.format_string(f"{folder}/%d.wav{tail}", i)
+    paths = rows.select("vec_id", F.struct(path(F.col("vec_id"), "::[:,0]").alias("whole"), F.array(path(F.col("vec_id"), "::[8:24,1]"), path((F.col("vec_id") + 1) % n, "::[:4,0]")).alias("parts")).alias("v"))
+    loaded = nested_files.load_audio_nested(paths, "v")
+    named = F.create_map(F.lit("whole"), F.col("v.whole.channels")[0], F.lit("piece"), F.col("v.parts")[0]["channels"][0], F.lit("next"), F.col("v.parts")[1]["channels"][0])
+    return loaded.select("vec_id", F.explode(named).alias("part", "samples")).select("vec_id", "part", F.posexplode("samples").alias("at", "value"))

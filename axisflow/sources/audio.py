@@ -85,6 +85,17 @@ def decoded(content: Column, start: int = 0, stop: int | None = None, channel: i
     return run(content)
 
 
+def decoded_part(content: Column, part: Column) -> Column:
+    """struct(sample_rate, channels) of the part of WAV bytes that a struct of parse_slice names."""
+    @F.pandas_udf(AUDIO)
+    def run(files: pd.Series, start: pd.Series, stop: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+        whole = lambda x: None if pd.isna(x) else int(x)
+        found = [decode(bytes(f), int(a), whole(b), None if pd.isna(c) else (int(c), int(e))) for f, a, b, c, e in zip(files, start, stop, first, last, strict=True)]
+        return pd.DataFrame({"sample_rate": [r for r, _ in found], "channels": [x.tolist() for _, x in found]})
+
+    return run(content, *(part.getField(f) for f in ("start", "stop", "first", "last")))
+
+
 def encoded(rate: Column, channels: Column, kind: str = "int16", normalize: bool = False) -> Column:
     @F.pandas_udf("binary")
     def run(rates: pd.Series, arrays: pd.Series) -> pd.Series:

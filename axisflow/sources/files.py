@@ -41,8 +41,12 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, **options)
 
 
 def write_any(df: DataFrame, path: str, kind: str | None = None, **options) -> None:
-    """Rows to files of a type; Spark's commit makes them appear as a whole."""
+    """Rows to files of a type, which appear as a whole; for WAV a file a row (name, sample_rate, channels) below the folder."""
     found = kind_of(path, kind)
+    if found == "wav":
+        from . import nested_files
+
+        return nested_files.write_audio(df, path, **options)
     if found not in ("json", "csv", "text", "parquet", "orc"):
         raise ValueError(f"no writer for {path}")
     defaults = {"csv": {"header": "true"}}.get(found, {})
