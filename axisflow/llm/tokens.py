@@ -83,11 +83,12 @@ class TokenCounter:
         return total
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 20_000, entries: int = 32_768) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2_000, entries: int = 32_768) -> dict[str, int]:
     """Lengths of the most frequent pre-tokens of a hash sample of about `sample_docs` texts (all, if fewer), from all parts of the table.
 
     The table only saves time: any pre-token outside it is encoded, so the sample never changes a count. Pre-tokens are tallied where
-    the texts are read; a task hands on its `entries` most frequent ones, which are added up.
+    the texts are read; a task holds 16 times `entries` at most besides one text, and hands on its `entries` most frequent ones, which are
+    added up.
     At most `entries` strings of at most CACHE_CHARS characters, hence a few MB whatever the corpus.
     """
     def tally(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,6 +96,8 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 20_000, entr
         for f in frames:
             for text in f["text"]:
                 seen.update(p for p in counter.pre_tokens(text) if len(p) <= CACHE_CHARS)
+                if len(seen) > 16 * entries:
+                    seen = Counter(dict(seen.most_common(4 * entries)))
         top = seen.most_common(entries)
         if top:
             yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
