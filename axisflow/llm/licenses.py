@@ -142,7 +142,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from scan_licenses."""
+    """The contract's columns from scan_licenses, a row for each of its rows, repeated and null ids included.
+
+    Without places first_word and last_word are null, labels empty, and the score is that of the best notice, or 0. An empty table gives no rows.
+    """
     label = lambda a: F.transform(a, lambda x: x["label"])
     base, every = label("base"), F.concat(label("base"), label("notices"))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

@@ -418,7 +418,8 @@ def token_id_digests(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row in the files; start counts the ids of all rows before it.
 
     Each file is summed in its own window, in the order of its rows; only one total a file is summed over the files, by their
-    part numbers, and their number is bounded by the range partitions. Null ids stay null; no files' rows: no rows.
+    part numbers, and their number is bounded by the range partitions. Null ids stay null; rows that repeat an id have a row each, one behind
+    the other; no files' rows: no rows.
     """
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

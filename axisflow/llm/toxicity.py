@@ -163,12 +163,21 @@ def score_toxicity(docs: DataFrame, model: Ordinal, threshold: float | None = No
 
 
 def train_from_labels(docs: DataFrame, labels: DataFrame) -> Ordinal:
+    """fit() on the documents of docs(doc_id, text) that labels(doc_id, toxic, quality) marks.
+
+    The labels tell whether a text is toxic, not how much: grades above 0 differ by quality only. Null ids and labels do not count;
+    an id with several rows or labels counts with each pair; null and empty texts have no words; other columns are ignored.
+    """
     marks = labels.select("doc_id", grade(F.col("toxic"), F.col("quality")).alias("grade")).where(F.col("grade").isNotNull())
     return fit(docs.select("doc_id", "text").join(marks, "doc_id"))
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal, threshold: float | None = None) -> DataFrame:
-    """The rows of docs that the model does not reject, with their columns; no shuffle."""
+    """The rows of docs that the model does not reject, with their columns; no shuffle.
+
+    Each row is judged by its own text, also where ids are repeated or null. Null and empty texts have no words, so only the
+    thresholds speak; a score equal to the threshold is rejected; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
