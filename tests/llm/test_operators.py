@@ -162,7 +162,7 @@ def test_nearest_of_short_vectors_with_ties_and_few_candidates(spark):
 def test_recall_of_curves_over_several_blocks(spark):
     x = np.random.default_rng(5).standard_normal((3000, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = nearest.search(df, F.col("vec_id") % 100 == 0, curves=8, block=500).collect()
+    got = nearest.search(df, F.col("vec_id") % 100 == 0, curves=8, least=500).collect()
     hits = 0
     for q in range(0, 3000, 100):
         d = ((x - x[q]) ** 2).sum(1)
