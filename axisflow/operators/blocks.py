@@ -6,10 +6,62 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELLS = 1 << 22  # values of a matrix at once
+CELLS = 1 << 17  # values of a matrix at once
+
+
+def _values(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All numbers of (nested) lists, where each row's end, and each row's shape; the job fails where a row's inner lists differ in length."""
+    inner, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+    ends, shape = np.concatenate([[0], np.cumsum(sizes)]), [sizes]
+    if pa.types.is_list(inner.type):
+        widths = inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+        first = np.append(widths, 0)[ends[:-1]] * (sizes > 0)
+        if (widths != np.repeat(first, sizes)).any():
+            raise ValueError("inner arrays of unequal length")
+        inner, ends, shape = inner.flatten(), np.concatenate([[0], np.cumsum(sizes * first)]), [sizes, first]
+    return inner.to_numpy(zero_copy_only=False).astype(float, copy=False), ends, shape
+
+
+def _spans(shape: list[np.ndarray], cost: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of one shape that cost CELLS together at most, or single rows."""
+    n = len(cost)
+    change = np.flatnonzero(np.any([s[1:] != s[:-1] for s in shape], axis=0)) + 1
+    for first, last in zip([0, *change], [*change, n], strict=True):
+        step = max(1, CELLS // max(int(cost[first]), 1)) if first < n else 1
+        for a in range(first, last, step):
+            yield a, min(a + step, last)
+
+
+def matrices(lists: list[pa.Array], cost: Callable[..., np.ndarray] | None = None) -> Iterator[list[np.ndarray]]:
+    """The rows in order, as one array a column with the rows first, in runs of one shape and CELLS values (or what `cost` says of the shapes) at most."""
+    parts = [_values(x) for x in lists]
+    shape = [s for _, _, of in parts for s in of]
+    for a, b in _spans(shape, cost(*shape) if cost else sum(np.diff(ends) for _, ends, _ in parts)):
+        yield [values[ends[a] : ends[b]].reshape(b - a, *(int(s[a]) for s in of)) for values, ends, of in parts]
+
+
+def on_lists(fn: Callable[..., np.ndarray], *columns: Column) -> Column:
+    """array<double>: fn of arrays whose rows are equally shaped values of the columns; a null in one of them gives a null.
+
+    Only these columns go to Python, and a batch's rows are worked on in small blocks.
+    """
+    @F.arrow_udf("array<double>")
+    def run(*lists: pa.Array) -> pa.Array:
+        null = np.any([x.is_null().to_numpy(zero_copy_only=False) for x in lists], axis=0)
+        lists = [pc.if_else(pa.array(null), pa.scalar(None, x.type), x) for x in lists] if null.any() else lists
+        found = [np.ascontiguousarray(fn(*m), float) for m in matrices(lists)]
+        sizes = np.concatenate([np.full(len(f), f.shape[1]) for f in found]) if found else np.zeros(0, int)
+        flat = np.concatenate([f.reshape(-1) for f in found]) if found else np.zeros(0)
+        ends = np.concatenate([[0], np.cumsum(np.where(null, 0, sizes))])
+        if null.any():
+            flat = flat[~np.repeat(null, sizes)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(null))
+
+    return run(*columns)
 
 
 def _nested(parts: list[np.ndarray], depth: int) -> pa.Array:
@@ -33,19 +85,19 @@ def on_blocks(df: DataFrame, column: str, fn: Callable[[np.ndarray], tuple[np.nd
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(column)
-            values, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-            ends, found, a = np.concatenate([[0], np.cumsum(sizes)]), [], 0
-            while a < len(sizes):
-                most = max(1, CELLS // max(int(sizes[a]), 1))
-                other = np.flatnonzero(sizes[a : a + most] != sizes[a])
-                b = a + int(other[0]) if len(other) else min(a + most, len(sizes))
-                found.append(fn(values[ends[a] : ends[b]].reshape(b - a, int(sizes[a]))))
-                a = b
-            more = [_nested([np.ascontiguousarray(f[i], float) for f in found], depth) for i, depth in enumerate(results.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+            found, size, at = [], 0, 0
+            for x, in matrices([batch.column(column)]):
+                found.append((len(x), fn(x)))
+                size += x.size
+                if size >= CELLS:
+                    yield put(batch, at, found)
+                    at, found, size = at + sum(n for n, _ in found), [], 0
+            if found:
+                yield put(batch, at, found)
+
+    def put(batch: pa.RecordBatch, at: int, found: list) -> pa.RecordBatch:
+        more = [_nested([np.ascontiguousarray(f[i], float) for _, f in found], depth) for i, depth in enumerate(results.values())]
+        return pa.RecordBatch.from_arrays([*batch.slice(at, sum(n for n, _ in found)).columns, *more], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, {kinds}")

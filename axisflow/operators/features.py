@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from . import spectral
 from .blocks import on_blocks
-from .ranges import free
 
 EPS = 1e-18
 
@@ -127,11 +126,11 @@ def inverse_mel(bands: Column, log: bool = True, **of) -> Column:
     return F.transform(weighted(flat, np.linalg.pinv(unit_bank(**of))), lambda f: F.transform(f, lambda v: F.greatest(v, F.lit(0.0))))
 
 
-def fbank(df: DataFrame, column: str, sample_rate: float = 16_000, window_length: int = 400, shift: int = 160, filters: int = 23, size: int = 512, lowest: float = 0.0, highest: float | None = None, p: float = 0.97, window_name: str = "hamming", denoise: bool = False, log: bool = False, out: str = "bands") -> DataFrame:
-    """df with mel bands a frame: preemphasis with offset compensation, spectrum without fading, power / size, unit filters; in one pass."""
+def _bands(sample_rate: float = 16_000, window_length: int = 400, shift: int = 160, filters: int = 23, size: int = 512, lowest: float = 0.0, highest: float | None = None, p: float = 0.97, window_name: str = "hamming", denoise: bool = False, log: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """(signals, samples) to (signals, frames, filters)."""
     bank, w = unit_bank(sample_rate=sample_rate, size=size, filters=filters, lowest=lowest, highest=highest).T, spectral.window(window_name, window_length)
 
-    def run(x: np.ndarray) -> tuple[np.ndarray]:
+    def run(x: np.ndarray) -> np.ndarray:
         y = x.copy()
         for k, v in ((1, -(1 + p)), (2, p)):
             y[:, k:] += v * x[:, : x.shape[1] - k]
@@ -142,20 +141,31 @@ def fbank(df: DataFrame, column: str, sample_rate: float = 16_000, window_length
         seg = np.lib.stride_tricks.sliding_window_view(y, window_length, axis=1)[:, ::shift][:, :frames]
         bands = (np.abs(np.fft.rfft(seg * w, size, axis=-1)) ** 2 / size) @ bank
         bands = bands - bands.min(1, keepdims=True) if denoise else bands
-        return (np.log(bands + EPS) if log else bands,)
+        return np.log(bands + EPS) if log else bands
 
-    return on_blocks(df, column, run, {out: 2})
+    return run
 
 
-def mfcc(df: DataFrame, column: str, cepstra: int = 13, lifter: int = 22, filters: int = 26, out: str = "cepstra", **of) -> DataFrame:
-    """df with the first `cepstra` orthonormal DCT-II coefficients of log mel bands, each lifted by 1 + L / 2 sin(pi n / L)."""
+def fbank(df: DataFrame, column: str, sample_rate: float = 16_000, window_length: int = 400, shift: int = 160, filters: int = 23, size: int = 512, lowest: float = 0.0, highest: float | None = None, p: float = 0.97, window_name: str = "hamming", denoise: bool = False, log: bool = False, out: str = "bands") -> DataFrame:
+    """df with mel bands a frame: preemphasis with offset compensation, spectrum without fading, power / size, unit filters; in one pass."""
+    bands = _bands(sample_rate, window_length, shift, filters, size, lowest, highest, p, window_name, denoise, log)
+    return on_blocks(df, column, lambda x: (bands(x),), {out: 2})
+
+
+def _cepstra(cepstra: int = 13, lifter: int = 22, filters: int = 26, **of) -> Callable[[np.ndarray], np.ndarray]:
+    """(signals, samples) to (signals, frames, cepstra)."""
     n, k = np.arange(filters), np.arange(cepstra)[:, None]
     matrix = np.cos(np.pi * k * (2 * n + 1) / (2 * filters)) * np.sqrt(np.where(k == 0, 1, 2) / filters)
     if lifter > 0:
         matrix = matrix * (1 + lifter / 2 * np.sin(np.pi * k / lifter))
-    bands, = free([*df.columns, out], "bands")
-    rows = fbank(df, column, filters=filters, log=True, out=bands, **of)
-    return rows.withColumn(out, weighted(F.col(bands), matrix)).drop(bands)
+    bands = _bands(filters=filters, **{**of, "log": True})
+    return lambda x: bands(x) @ matrix.T
+
+
+def mfcc(df: DataFrame, column: str, cepstra: int = 13, lifter: int = 22, filters: int = 26, out: str = "cepstra", **of) -> DataFrame:
+    """df with the first `cepstra` orthonormal DCT-II coefficients of log mel bands, each lifted by 1 + L / 2 sin(pi n / L)."""
+    found = _cepstra(cepstra, lifter, filters, **of)
+    return on_blocks(df, column, lambda x: (found(x),), {out: 2})
 
 
 def delta_taps(width: int = 9, order: int = 1) -> np.ndarray:
@@ -216,9 +226,24 @@ def average_blocks(blocks: Column, length: int, shift: int) -> Column:
     return F.when(F.size(blocks) == 0, F.slice(blocks, 1, 0)).when(F.size(blocks) > 0, found)
 
 
+def _in_runs(x: np.ndarray, length: int, shift: int) -> np.ndarray:
+    """(rows, runs, .., length): runs of `length` along the second axis, one every `shift`; the last is filled with zeros."""
+    runs = max(1, -(-(x.shape[1] - length) // shift) + 1)
+    x = np.pad(x, ((0, 0), (0, max(0, (runs - 1) * shift + length - x.shape[1])), *((0, 0),) * (x.ndim - 2)))
+    return np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::shift][:, :runs]
+
+
 def modmfcc(df: DataFrame, column: str, block: int = 16, step: int = 8, block_window: str = "hamming", average: int = 1, average_step: int = 1, cepstra: int = 30, filters: int = 40, out: str = "modulation", **of) -> DataFrame:
-    """df with the modulation spectrum of the signals' mel cepstra, averaged over runs of blocks if `average` is over 1; `of` goes to mfcc."""
-    held, blocks = free([*df.columns, out], "cepstra", "blocks")
-    rows = mfcc(df, column, cepstra, filters=filters, out=held, **of)
-    rows = rows.withColumn(blocks, modulation(F.col(held), block, step, block_window))
-    return rows.withColumn(out, average_blocks(F.col(blocks), average, average_step) if average > 1 else F.col(blocks)).drop(held, blocks)
+    """df with the modulation spectrum of the signals' mel cepstra, averaged over runs of blocks if `average` is over 1; `of` goes to mfcc.
+
+    Cepstra, spectra and means (as of modulation and average_blocks) are taken in one pass over the signals.
+    """
+    if average > 1 and average_step > average:
+        raise ValueError("averages must not leave blocks out")
+    found, w = _cepstra(cepstra, filters=filters, **of), spectral.window(block_window, block)
+
+    def run(x: np.ndarray) -> tuple[np.ndarray]:
+        spectra = np.abs(np.fft.rfft(_in_runs(found(x), block, step) * w, axis=-1)).swapaxes(2, 3)
+        return (_in_runs(spectra, average, average_step).mean(-1) if average > 1 else spectra,)
+
+    return on_blocks(df, column, run, {out: 3})
