@@ -158,10 +158,7 @@ def dense(a: Axes, start: int | None = None, stop: int | None = None) -> DataFra
     runs = part.spans.groupBy(*a.by).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     rows = joined(part.keys, runs, a.by)
     r = F.coalesce("runs", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
-    end = lambda i: F.when(i > 0, F.get(r, i - 1)["stop"]).otherwise(F.lit(0))
-    repeat = lambda v, n: F.array_repeat(F.lit(v), n.cast("int"))
-    body = F.flatten(F.transform(r, lambda x, i: F.concat(repeat(False, x["start"] - end(i)), repeat(True, x["stop"] - x["start"]))))
-    return rows.select(*a.by, F.concat(body, repeat(False, F.col("length") - end(F.size(r)))).alias("values"))
+    return rows.select(*a.by, I.pasted(r, F.col("length")).alias("values"))
 
 
 def values_at(places: DataFrame, a: Axes, at: str = "at") -> DataFrame:

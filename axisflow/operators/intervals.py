@@ -7,7 +7,7 @@ only keys of more than ranges.LIMIT rows have more than one range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import LIMIT, cuts, free, joined, ranged, running, stored
@@ -216,12 +216,20 @@ def contains(points: DataFrame, iv: DataFrame, by: list[str], at: str = "at", li
     return done.where(F.col(kind) == 1).select(f"{row}.*", F.coalesce(F.col(level) > 0, F.lit(False)).alias("inside"))
 
 
-def dense(iv: DataFrame, by: list[str], length: int) -> DataFrame:
-    """(key.., values): the whole boolean array of each key, pasted from runs."""
-    from .sparse import dense as pasted, from_intervals
+def pasted(runs: Column, length: Column) -> Column:
+    """array<boolean> of `length` from ascending, disjoint structs (start, stop) inside it."""
+    end = lambda i: F.when(i > 0, F.get(runs, i - 1)["stop"]).otherwise(F.lit(0))
+    repeat = lambda v, n: F.array_repeat(F.lit(v), n.cast("int"))
+    body = F.flatten(F.transform(runs, lambda x, i: F.concat(repeat(False, x["start"] - end(i)), repeat(True, x["stop"] - x["start"]))))
+    return F.concat(body, repeat(False, length - end(F.size(runs))))
+
 
-    flat = pasted(from_intervals(cut(normalize(iv, by), by, 0, length), by), by, length)
-    return flat.select(*by, F.transform("values", lambda v: v > 0).alias("values"))
+def dense(iv: DataFrame, by: list[str], length: int) -> DataFrame:
+    """(key.., values): the whole boolean array of each key that has an interval before the end of the axis, even if that ends before 0."""
+    inside = lambda c: F.greatest(F.least(c, F.lit(length)), F.lit(0)).cast("long").alias(c)
+    runs, = free(by, "runs")
+    rows = normalize(iv, by).where(F.col("start") < length).select(*by, F.struct(inside("start"), inside("stop")).alias(runs))
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(runs)).alias(runs)).select(*by, pasted(F.col(runs), F.lit(length)).alias("values"))
 
 
 def assign(iv: DataFrame, by: list[str], start: int, stop: int, value: int | DataFrame) -> DataFrame:

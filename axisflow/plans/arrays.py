@@ -92,8 +92,9 @@ def interval_contains(spark, d):
 
 
 def _hours(spark, d):
+    """Bounds in whole hours from LOW, towards it on both sides, as of integer division in SQL."""
     s = _spans(spark, d)
-    hour = lambda c: F.floor((F.col(c) - LOW) / 3600).cast("long").alias(c)
+    hour = lambda c: F.expr(f"({c} - {LOW}) div 3600").alias(c)
     return s.select("user_id", hour("start"), hour("stop"))
 
 
@@ -118,8 +119,10 @@ w AS (SELECT user_id, start, least(stop, 100) AS stop FROM a UNION ALL SELECT us
 v AS (SELECT * FROM w WHERE start < stop),
 """ + _merge("z", "v") + "\nSELECT * FROM z")
 def interval_assign_other(spark, d):
+    """What h holds before the axis is moved, too, to before the place 100."""
     h = _hours(spark, d)
-    return I.assign(I.assign(h, KEY, 100, 150, 0), KEY, 100, 150, h)
+    before = I.shift_pad(h.withColumn("stop", F.least("stop", F.lit(0))), KEY, 100)
+    return I.union(I.assign(I.assign(h, KEY, 100, 150, 0), KEY, 100, 150, h), before, KEY)
 
 
 @query(_HOURS + "\nSELECT user_id, string_agg(start || ':' || stop, ',' ORDER BY start) AS text, CAST(2000 AS BIGINT) AS length FROM a GROUP BY user_id")
