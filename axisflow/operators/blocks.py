@@ -61,7 +61,7 @@ def on_lists(fn: Callable[..., np.ndarray], *columns: Column) -> Column:
             flat = flat[~np.repeat(null, sizes)]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(null))
 
-    return run(*columns)
+    return run.asNondeterministic()(*columns)  # so that a filter on the result is not pushed below it, with the work done twice
 
 
 def _nested(parts: list[np.ndarray], depth: int) -> pa.Array:
@@ -80,15 +80,20 @@ def on_blocks(df: DataFrame, column: str, fn: Callable[[np.ndarray], tuple[np.nd
     as empty, for which fn is called with rows of length 0.
     """
     rows = df.withColumn(column, F.transform(F.coalesce(F.col(column), F.array().cast("array<double>")), lambda v: v.cast("double")))
+    return mapped(rows, [column], fn, results)
+
+
+def mapped(rows: DataFrame, columns: list[str], fn: Callable[..., tuple[np.ndarray, ...]], results: dict[str, int]) -> DataFrame:
+    """on_blocks for several columns, which may be nested: fn takes an array a column. All columns of rows go through Python, so select before."""
     kinds = ", ".join(f"`{name}` {'array<' * depth}double{'>' * depth}" for name, depth in results.items())
     names = [*rows.columns, *results]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, size, at = [], 0, 0
-            for x, in matrices([batch.column(column)]):
-                found.append((len(x), fn(x)))
-                size += x.size
+            for parts in matrices([batch.column(c) for c in columns]):
+                found.append((len(parts[0]), fn(*parts)))
+                size += sum(x.size for x in parts)
                 if size >= CELLS:
                     yield put(batch, at, found)
                     at, found, size = at + sum(n for n, _ in found), [], 0

@@ -6,12 +6,12 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import on_blocks
-from .ranges import free
+from .blocks import mapped, matrices, on_blocks, on_lists
 
 
 def _cosines(*weights: float) -> Callable[[int], np.ndarray]:
@@ -91,21 +91,21 @@ def istft(re: Column, im: Column, size: int = 1024, shift: int = 256, window_nam
     length = window_length or size
     dual, (before, after) = dual_window(window(window_name, length, symmetric), shift), fading_width(length, shift, fading)
 
-    @F.pandas_udf("array<double>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            if not len(x):
-                return []
-            frames = np.fft.irfft(np.stack(x) + 1j * np.stack(y), size)[:, :length] * dual
-            out = np.zeros((len(frames) - 1) * shift + length)
-            np.add.at(out, (np.arange(len(frames))[:, None] * shift + np.arange(length)).ravel(), frames.ravel())
-            return out[before : len(out) - after][:num_samples].tolist()
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not a.shape[1]:
+            return np.zeros((len(a), 0))
+        return _overlapped(np.fft.irfft(a + 1j * b, size)[..., :length] * dual, shift)[:, before : (a.shape[1] - 1) * shift + length - after][:, :num_samples]
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    return on_lists(run, re, im)
 
-    return run(re, im)
+
+def _overlapped(frames: np.ndarray, shift: int) -> np.ndarray:
+    """(signals, samples): sums of (signals, frames, samples) that begin `shift` apart."""
+    n, length = frames.shape[1:]
+    out = np.zeros((len(frames), (n - 1) * shift + length))
+    for f in range(n):
+        out[:, f * shift : f * shift + length] += frames[:, f]
+    return out
 
 
 def power(re: Column, im: Column) -> Column:
@@ -176,21 +176,13 @@ def griffin_lim(df: DataFrame, column: str, size: int = 1024, shift: int = 256,
     """
     w, bins = window(window_name, size), size // 2 + 1
     dual, (before, after) = dual_window(w, shift), fading_width(size, shift, fading)
-    flat, = free([*df.columns, out], "flat")
-
-    def run(x: np.ndarray) -> tuple[np.ndarray]:
-        x = x.reshape(len(x), 2 if phases else 1, -1, bins)
-        frames = x.shape[2]
-        if not frames:
-            return (np.zeros((len(x), 0)),)
-        loud, total = x[:, 0], (frames - 1) * shift + size
-        angle = x[:, 1] if phases else 2 * np.pi * np.random.default_rng(seed).random(loud.shape[1:])
 
-        def back(s: np.ndarray) -> np.ndarray:
-            parts, y = np.fft.irfft(s, size) * dual, np.zeros((len(s), total))
-            for f in range(frames):
-                y[:, f * shift : f * shift + size] += parts[:, f]
-            return y[:, before : total - after]
+    def run(loud: np.ndarray, *begin: np.ndarray) -> tuple[np.ndarray]:
+        if not loud.shape[1]:
+            return (np.zeros((len(loud), 0)),)
+        if loud.shape[2] != bins or any(x.shape != loud.shape for x in begin):
+            raise ValueError(f"magnitudes and phases need frames of {bins} bins each")
+        angle = begin[0] if begin else 2 * np.pi * np.random.default_rng(seed).random(loud.shape[1:])
 
         def forward(y: np.ndarray) -> np.ndarray:
             y = np.pad(y, ((0, 0), (before, after)))
@@ -198,15 +190,14 @@ def griffin_lim(df: DataFrame, column: str, size: int = 1024, shift: int = 256,
 
         last = None
         for i in range(iterations):
-            y = back(loud * np.exp(1j * angle))
+            y = _overlapped(np.fft.irfft(loud * np.exp(1j * angle), size) * dual, shift)
+            y = y[:, before : y.shape[1] - after]
             if i + 1 < iterations:
                 new = forward(y)
                 angle, last = np.angle(new if last is None else new + alpha * (new - last)), new
         return (y,)
 
-    parts = [column, *([phases] if phases else [])]
-    rows = df.withColumn(flat, F.flatten(F.concat(*(F.coalesce(F.col(c), F.array().cast("array<array<double>>")) for c in parts))))
-    return on_blocks(rows, flat, run, {out: 1}).drop(flat)
+    return mapped(df, [column, *([phases] if phases else [])], run, {out: 1})
 
 
 def dct2(x: Column, n: int) -> Column:
@@ -224,28 +215,38 @@ def dtw(a: Column, b: Column, border: tuple[float, float] = (math.inf, math.inf)
     border: what a step along the edge costs (first row, first column); penalty and weight of the steps (repeat a, match, repeat
     b), added to and multiplied with what was spent before. Cells are computed along anti-diagonals. Ties: match, then repeat b.
     """
-    @F.pandas_udf("cost double, path array<struct<i:int,j:int>>")
-    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        def one(x, y):
-            x, y = np.asarray(x, float), np.asarray(y, float)
-            r, c = len(x), len(y)
-            d = np.full((r + 1, c + 1), np.inf)
-            with np.errstate(invalid="ignore"):
-                d[0, 1:], d[1:, 0], d[0, 0] = np.arange(1, c + 1) * border[0], np.arange(1, r + 1) * border[1], 0
-            for s in range(2, r + c + 1):
-                i = np.arange(max(1, s - c), min(r, s - 1) + 1)
-                j = s - i
-                way = np.minimum(weight[1] * d[i - 1, j - 1] + penalty[1], np.minimum(weight[2] * d[i - 1, j] + penalty[2], weight[0] * d[i, j - 1] + penalty[0]))
-                d[i, j] = np.abs(x[i - 1] - y[j - 1]) + way
-            i, j, path = r, c, []
-            while i > 0 and j > 0:
-                path.append({"i": i - 1, "j": j - 1})
-                ways = (d[i - 1, j - 1] + penalty[1], d[i - 1, j] + penalty[2], d[i, j - 1] + penalty[0])
-                best = ways.index(min(ways))
-                i, j = i - (best != 2), j - (best != 1)
-            return float(d[r, c]), path[::-1]
-
-        rows = [(None, None) if x is None or y is None else one(x, y) for x, y in zip(xs, ys, strict=True)]
-        return pd.DataFrame(rows, columns=["cost", "path"])
-
-    return run(a, b)
+    def align(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Costs, path lengths and the places of all paths one after another; signals lie side by side in the last axis."""
+        n, r, c = len(x), x.shape[1], y.shape[1]
+        x, y, rows = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), np.arange(n)
+        d = np.full((r + 1, c + 1, n), np.inf)
+        with np.errstate(invalid="ignore"):
+            d[0, 1:], d[1:, 0], d[0, 0] = np.arange(1, c + 1)[:, None] * border[0], np.arange(1, r + 1)[:, None] * border[1], 0
+        for s in range(2, r + c + 1):
+            i = np.arange(max(1, s - c), min(r, s - 1) + 1)
+            j = s - i
+            way = np.minimum(weight[1] * d[i - 1, j - 1] + penalty[1], np.minimum(weight[2] * d[i - 1, j] + penalty[2], weight[0] * d[i, j - 1] + penalty[0]))
+            d[i, j] = np.abs(x[i - 1] - y[j - 1]) + way
+        i, j, steps = np.full(n, r), np.full(n, c), []
+        while (on := (i > 0) & (j > 0)).any():
+            steps.append((on, i - 1, j - 1))
+            h, k = np.maximum(i, 1) - 1, np.maximum(j, 1) - 1
+            best = np.argmin([d[h, k, rows] + penalty[1], d[h, j, rows] + penalty[2], d[i, k, rows] + penalty[0]], axis=0)
+            i, j = i - (on & (best != 2)), j - (on & (best != 1))
+        on, i, j = (np.stack(part[::-1], 1) if part else np.zeros((n, 0), int) for part in (zip(*steps, strict=True) if steps else ((), (), ())))
+        return d[r, c].copy(), on.sum(1), np.stack([i[on.astype(bool)], j[on.astype(bool)]])
+
+    @F.arrow_udf("cost double, path array<struct<i:int,j:int>>")
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        known = pc.and_(pc.is_valid(xs), pc.is_valid(ys))
+        found = [align(*m) for m in matrices([xs.filter(known), ys.filter(known)], lambda r, c: (r + 1) * (c + 1) // 8)]  # tables of 8 MB
+        null = ~known.to_numpy(zero_copy_only=False)
+        cost, sizes = np.full(len(null), np.nan), np.zeros(len(null), int)
+        if found:
+            cost[~null], sizes[~null] = (np.concatenate([f[k] for f in found]) for k in range(2))
+        i, j = np.concatenate([f[2] for f in found], 1) if found else np.zeros((2, 0), int)
+        places = pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["i", "j"])
+        path = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), places, mask=pa.array(null))
+        return pa.StructArray.from_arrays([pa.array(cost, mask=null), path], ["cost", "path"])
+
+    return run.asNondeterministic()(a, b)  # worked once, whatever filters follow

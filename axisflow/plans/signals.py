@@ -216,7 +216,7 @@ def phase_features(spark, d):
 
 def _loud(spark, d):
     rows = spectral.stft(_vectors(spark, d), "x", 16, 4)
-    return rows.withColumn("loud", F.zip_with("re", "im", lambda a, b: F.zip_with(a, b, lambda p, q: F.sqrt(p * p + q * q))))
+    return rows.select("vec_id", F.zip_with("re", "im", lambda a, b: F.zip_with(a, b, lambda p, q: F.sqrt(p * p + q * q))).alias("loud"))
 
 
 @query()
