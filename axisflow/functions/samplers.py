@@ -35,10 +35,15 @@ def normal(seed: str, key: Column, loc: float = 0.0, scale: float = 1.0) -> Colu
 
 
 def truncated_normal(seed: str, key: Column, loc: float = 0.0, scale: float = 1.0, truncation: float = 3.0) -> Column:
-    """The first of TRIES normal numbers within loc +- truncation."""
-    tries = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda i: scale * _gauss(seed, key, i))
-    last = F.greatest(F.lit(-truncation), F.least(F.lit(float(truncation)), F.element_at(tries, -1)))
-    return loc + F.coalesce(F.get(F.filter(tries, lambda z: F.abs(z) <= truncation), F.lit(0)), last)
+    """The first of TRIES normal numbers within loc +- truncation. Later tries are made only where the earlier ones lie outside."""
+    one = lambda i: F.when(F.abs(scale * _gauss(seed, key, i)) <= truncation, scale * _gauss(seed, key, i))
+
+    def some(first: int, last: int) -> Column:
+        tries = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: scale * _gauss(seed, key, i))
+        return F.get(F.filter(tries, lambda z: F.abs(z) <= truncation), F.lit(0))
+
+    last = F.greatest(F.lit(-truncation), F.least(F.lit(float(truncation)), scale * _gauss(seed, key, TRIES - 1)))
+    return loc + F.coalesce(one(0), one(1), some(2, 5), some(6, TRIES - 1), last)
 
 
 def log_truncated_normal(seed: str, key: Column, loc: float = 0.0, scale: float = 1.0, truncation: float = 3.0) -> Column:
