@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals as I
-from .ranges import free, joined
+from .ranges import cuts, free, joined, ranged, running, stored
 
 #: Both sides' booleans as logical operations and comparisons.
 OPERATIONS = {"or": lambda a, b: a | b, "and": lambda a, b: a & b, "xor": lambda a, b: a != b} | I.COMPARE
@@ -94,11 +94,16 @@ def plain(a: Axes) -> Axes:
 
 
 def _true_spans(a: Axes) -> DataFrame:
-    whole = a.keys.where("inverse").withColumn("length", a._known("an inverse axis"))
-    ends = whole.select(*a.by, F.lit(0).cast("long").alias("start"), F.col("length").alias("stop"))
-    flagged = a._with_keys(a.spans)
-    rest = I.difference(ends, flagged.where("inverse").select(*a.by, "start", "stop"), a.by)
-    return flagged.where(~F.col("inverse")).select(*a.by, "start", "stop").unionByName(rest)
+    """One ordered pass: an inverse axis has the gaps behind 0 and behind each of its spans, which are disjoint."""
+    piece, nxt = free([*a.by, "start", "stop", "length", "inverse"], "piece", "nxt")
+    zero = F.lit(0).cast("long")
+    rows = a._with_keys(a.spans).select(*a.by, "start", "stop", "length", "inverse")
+    rows = rows.unionByName(a.keys.where("inverse").select(*a.by, zero.alias("start"), zero.alias("stop"), "length", "inverse"))
+    split = cuts(rows, a.by, "start")
+    rows = running(ranged(rows, a.by, "start", split, piece), a.by, ["start", "stop"], {}, piece if split is not None else None, {nxt: "start"})
+    gap = F.coalesce(F.col(nxt), a._known("an inverse axis"))
+    found = rows.select(*a.by, F.when(F.col("inverse"), F.col("stop")).otherwise(F.col("start")).alias("start"), F.when(F.col("inverse"), gap).otherwise(F.col("stop")).alias("stop"))
+    return found.where("start < stop")
 
 
 def assign(a: Axes, start: int, stop: int | None, value: int | Axes) -> Axes:
@@ -202,9 +207,10 @@ def pad(a: Axes, before: int, after: int) -> Axes:
 
 def to_text(a: Axes) -> DataFrame:
     """(by.., text, length): the true spans as `start:stop` joined by commas; the job fails for an open complement."""
-    return joined(a.keys.select(*a.by, "length"), I.to_text(_true_spans(a), a.by), a.by).select(*a.by, F.coalesce("text", F.lit("")).alias("text"), "length")
+    return joined(a.keys.select(*a.by, "length"), I.texts_of(_true_spans(a), a.by), a.by).select(*a.by, F.coalesce("text", F.lit("")).alias("text"), "length")
 
 
 def from_text(texts: DataFrame, by: list[str]) -> Axes:
-    """Axes of rows (by.., text, length), as to_text writes them; the job fails for malformed text."""
+    """Axes of rows (by.., text, length), as to_text writes them; the job fails for malformed text. The rows are stored, since keys and spans both come of them."""
+    texts = stored(texts.select(*by, "text", "length"))
     return axes(texts.select(*by, "length"), I.from_text(texts, by), by, F.col("length"))

@@ -140,8 +140,13 @@ def concurrency(iv: DataFrame, by: list[str], limit: int = LIMIT) -> DataFrame:
 
 def to_text(iv: DataFrame, by: list[str]) -> DataFrame:
     """One text a key, `start:stop` joined by commas in order."""
+    return texts_of(normalize(iv, by), by)
+
+
+def texts_of(merged: DataFrame, by: list[str]) -> DataFrame:
+    """to_text of intervals that are disjoint and do not touch."""
     item = F.array_sort(F.collect_list(F.struct("start", "stop")))
-    return normalize(iv, by).groupBy(*by).agg(F.array_join(F.transform(item, lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("text"))
+    return merged.groupBy(*by).agg(F.array_join(F.transform(item, lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("text"))
 
 
 def from_text(texts: DataFrame, by: list[str], column: str = "text") -> DataFrame:

@@ -125,3 +125,14 @@ def test_what_must_fail(spark, wrong):
     a = A.zeros(spark.createDataFrame([("a",)], "piece string"), BY, 10)
     with pytest.raises(Exception, match="length|outside|slice|total|mean|end|interval|axis"):
         wrong(a, spark).collect()
+
+
+def test_text_of_complements_in_one_pass(spark):
+    """Gaps at both ends, of full and of empty axes; and reading a text again does not work out twice what wrote it."""
+    keys = spark.createDataFrame([(k, k != 4) for k in range(6)], "k int, inv boolean")
+    spans = spark.createDataFrame([(1, 0, 10), (2, 0, 3), (2, 5, 7), (3, 2, 4), (3, 9, 10), (4, 2, 4), (4, 4, 6)], "k int, start long, stop long")
+    a = A.axes(keys, spans, ["k"], 10, F.col("inv"))
+    again = A.to_text(A.from_text(A.to_text(a), ["k"]))
+    want = {0: "0:10", 1: "", 2: "3:5,7:10", 3: "0:2,4:9", 4: "2:6", 5: "0:10"}
+    assert {r.k: (r.text, r.length) for r in again.collect()} == {k: (v, 10) for k, v in want.items()}
+    assert again._jdf.queryExecution().optimizedPlan().toString().count("Window") <= 8
