@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from axisflow.operators.ranges import free, stored
 from . import audio
 
 Decoder = Callable[[Column, Column], Column]  # (content, path as it was given) -> data
+BLOCK = 1 << 23  # bytes of files that a task's Python holds at once, if no single file is larger
+OPENED = "leaf string, content binary"
 
 
 def _plain(path: Column) -> Column:
@@ -52,25 +55,66 @@ def replaced_leaves(kind: DataType, value: Column, found: Column) -> Column:
     raise TypeError(f"{kind.simpleString()} is no path and no collection of paths")
 
 
+def _in_folders(spark: SparkSession, path: Column) -> Column:
+    """Whether a path lies in folders that driver and executors mount: `file:`, or no scheme where Spark's default is local."""
+    scheme = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*):/", 1)
+    local = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").startswith("file:")
+    return scheme.isin("file", "") if local else scheme == "file"
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, content) of rows (leaf, file); leaves of one file that follow each other read it once."""
+    last, content, held, size = None, b"", [], 0
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([x for _, x in held], pa.binary())], ["leaf", "content"])
+
+    for batch in batches:
+        for leaf, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if file != last:
+                if not os.path.isfile(file):
+                    raise FileNotFoundError(f"path is no file: {file}")
+                with open(file, "rb") as f:
+                    last, content = file, f.read()
+            if held and size + len(content) > BLOCK:
+                yield block()
+                held, size = [], 0
+            held.append((leaf, content))
+            size += len(content)
+    if held:
+        yield block()
+
+
+def contents(leaves: DataFrame) -> DataFrame:
+    """(leaf, content) of a table of distinct `leaf`s, paths with or without slices; a file that is not there fails the job.
+
+    Files in folders that driver and executors share are opened by the tasks that hold their leaves. Others, in stores that only Spark
+    reads, come in one scan, whose list of names is the driver's as of any file source.
+    """
+    spark = leaves.sparkSession
+    mounted, rows = _in_folders(spark, F.col("leaf")), leaves.select("leaf", _plain(F.col("leaf")).alias("path"))
+    full = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(f"{os.getcwd()}/"), "path"))
+    found = rows.where(mounted).select("leaf", full.alias("file")).sortWithinPartitions("file").mapInArrow(_opened, OPENED)
+    others = rows.where(~mounted)
+    names = [r.path for r in others.select("path").distinct().collect()]
+    if not names:
+        return found
+    files = spark.read.format("binaryFile").load(names).select(_plain(F.col("path")).alias("path"), "content")
+    return found.unionByName(others.join(files, "path").select("leaf", "content"))
+
+
 def recursive_load(df: DataFrame, column: str, decode: Decoder) -> DataFrame:
     """df with every path in `column`, a path or a structure of structs, arrays and maps of paths, replaced by decode(content, path).
 
-    All rows' distinct files are read in one scan, whose list of names is the driver's as of any file source; each distinct leaf is
-    decoded once, and the structure is built again from its schema. Null paths stay null; a file that is not there fails the job; other
-    types than text fail at once.
+    Each distinct leaf is read and decoded once, and the structure is built again from its schema. Null paths stay null; a file that is
+    not there fails the job; other types than text fail at once.
     """
-    row, leaf, data, found, content = free(df.columns, "row", "leaf", "data", "found", "content")
+    row, leaf, data, found = free(df.columns, "row", "leaf", "data", "found")
     kind = df.schema[column].dataType
     rows = stored(df.withColumn(row, F.monotonically_increasing_id()))
     leaves = rows.select(row, F.explode(F.array_distinct(path_leaves(kind, F.col(f"`{column}`")))).alias(leaf))
-    distinct = leaves.select(leaf).distinct()
-    names = [r[0] for r in distinct.select(_plain(F.col(leaf))).distinct().collect()]
-    if not names:
-        files = df.sparkSession.createDataFrame([], "path string, content binary")
-    else:
-        files = df.sparkSession.read.format("binaryFile").load(names).select("path", "content")
-    files = files.select(_plain(F.col("path")).alias("path"), F.col("content").alias(content))
-    decoded = distinct.join(files, _plain(F.col(leaf)) == F.col("path")).select(leaf, decode(F.col(content), F.col(leaf)).alias(data))
+    read = contents(leaves.select(F.col(leaf).alias("leaf")).distinct())
+    decoded = read.select(F.col("leaf").alias(leaf), decode(F.col("content"), F.col("leaf")).alias(data))
     maps = leaves.join(decoded, leaf).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(leaf, data))).alias(found))
     both = rows.join(maps, row, "left")
     built = replaced_leaves(kind, F.col(f"`{column}`"), F.col(found))

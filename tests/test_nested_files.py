@@ -3,6 +3,7 @@
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,39 @@ def test_nested_paths(spark, tmp_path):
         N.load_audio_nested(spark.createDataFrame([(1,)], "v int"), "v")
 
 
+def test_tasks_open_files_themselves(spark, tmp_path):
+    """The tasks of a load do not grow with the number of files (before: 1,315 tasks for these)."""
+    names = spark.range(1200).select(F.format_string("%d.wav", "id").alias("name"), (F.col("id") + 1).cast("int").alias("sample_rate"), F.lit(1.0).alias("x"))
+    files.write_any(names.select("name", "sample_rate", F.array(F.array("x")).alias("channels")), str(tmp_path), "wav")
+    spark.sparkContext.setJobGroup("opened", "")
+    try:
+        got = N.load_audio_nested(names.select("sample_rate", F.concat(F.lit(f"{tmp_path}/"), "name").alias("v")), "v").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 1200 and all(r.v.sample_rate == r.sample_rate for r in got)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("opened") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < sum(info.numTasks for s in set(stages) if (info := tracker.getStageInfo(s))) < 300
+
+
+def test_paths_of_any_name_and_store(spark, tmp_path):
+    wavs(spark, tmp_path, ["_a.wav", "b [1].wav", "c.wav"])
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{tmp_path.name}.link./in", f"file://{tmp_path}")
+    paths = [f"{tmp_path}/_a.wav", f"{tmp_path}//b [1].wav::[1:3,1]", f"file://{tmp_path}/c.wav", f"viewfs://{tmp_path.name}/in/c.wav::[:2,0]", os.path.relpath(f"{tmp_path}/c.wav")]
+    got = N.load_audio_nested(spark.createDataFrame([(paths,)], "v array<string>"), "v").collect()[0].v
+    assert [x and x.sample_rate for x in got] == [8000, 8001, 8002, 8002, 8002]
+    assert [got[1].channels, got[3].channels] == [[[0.0, 0.0]], [[0.0, 0.5]]]
+
+
+def test_blocks_of_contents_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 100)
+    for name in "ab":
+        (tmp_path / name).write_bytes(name.encode() * 60)
+    rows = [(f"{name}::[{i}:]", f"{tmp_path}/{name}") for name in "ab" for i in range(2)]
+    got = list(N._opened(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["leaf", "file"])])))
+    assert [b.num_rows for b in got] == [1] * 4 and [tuple(r.values()) for b in got for r in b.to_pylist()] == [(x, f[-1].encode() * 60) for x, f in rows]
+
+
 def test_audio_files_are_written_whole_or_not_at_all(spark, tmp_path):
     folder = tmp_path / "out"
     rows = wavs(spark, folder, ["a.wav", "b/c.wav"])
