@@ -178,8 +178,8 @@ class CachedLoader:
 class AudioFiles(DataSource):
     """Writer of WAV files from rows (name, sample_rate, channels) to a folder that driver and executors share.
 
-    Each task writes to a staging folder, whose name hides it from Spark; only when all have ended are the files moved to their names.
-    A failed job leaves none, though a task that is killed meanwhile may leave files in the staging folder.
+    Each task writes to its own part of a staging folder, whose name hides it from Spark; only when all have ended does the driver, which
+    gets their names, move the files there. A failed job leaves none, though a task that is killed meanwhile may leave files in the staging folder.
     """
 
     @classmethod
@@ -192,7 +192,8 @@ class AudioFiles(DataSource):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    staged: list[tuple[str, str]]
+    folder: str
+    names: list[str]
 
 
 class _AudioWriter(DataSourceWriter):
@@ -203,29 +204,37 @@ class _AudioWriter(DataSourceWriter):
         self.staging = f"{self.folder}/_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> _Written:
-        os.makedirs(self.staging, exist_ok=True)
-        done = []
+        folder, names = f"{self.staging}/{uuid.uuid4().hex}", []
+        os.makedirs(folder)
         for row in iterator:
             if row.name is None or row.channels is None or os.path.isabs(row.name) or ".." in row.name.split("/"):
                 raise ValueError(f"no place for a file: {row.name!r}")
-            at = f"{self.staging}/{uuid.uuid4().hex}.wav"
-            with open(at, "wb") as f:
+            with open(f"{folder}/{len(names)}", "wb") as f:
                 f.write(audio.encode(row.sample_rate, row.channels, self.kind, False))
-            done.append((at, f"{self.folder}/{row.name}"))
-        return _Written(done)
+            names.append(row.name)
+        return _Written(folder, names)
 
     def commit(self, messages: list) -> None:
-        files = [x for m in messages if m is not None for x in m.staged]
-        names = [to for _, to in files]
-        taken = [] if self.overwrite else [to for to in names if os.path.exists(to)]
-        if taken or len(set(names)) < len(names):
+        files = [(f"{m.folder}/{i}", f"{self.folder}/{name}") for m in messages if m is not None for i, name in enumerate(m.names)]
+        folders = {os.path.dirname(to) for _, to in files}
+        held = set() if self.overwrite else {x for x in folders if self._holds(x)}
+        taken = [to for _, to in files if os.path.dirname(to) in held and os.path.exists(to)] if held else []
+        if taken or len({to for _, to in files}) < len(files):
             self.abort(messages)
             raise ValueError(f"names are not free: {sorted(taken)[:3] or 'some are repeated'}")
+        for folder in folders:
+            os.makedirs(folder, exist_ok=True)
         for at, to in files:
-            os.makedirs(os.path.dirname(to), exist_ok=True)
             os.replace(at, to)
         self._clear()
 
+    def _holds(self, folder: str) -> bool:
+        """Whether something but this staging folder is there, which a new file could meet."""
+        if not os.path.isdir(folder):
+            return False
+        with os.scandir(folder) as found:
+            return any(x.path != self.staging for x in found)
+
     def abort(self, messages: list) -> None:
         self._clear()
 

@@ -1,10 +1,12 @@
 """Nested structures of paths, the cache of decoded files, and audio files written by a job."""
 
 import os
+import pickle
 import time
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from axisflow.sources import audio, files
@@ -82,6 +84,23 @@ def test_audio_files_are_written_whole_or_not_at_all(spark, tmp_path):
     assert {r.sample_rate for r in audio.read(spark, f"{folder}/*.wav").collect()} == {16_000} and os.listdir(f"{folder}/b") == ["c.wav"]
 
 
+def test_the_driver_gets_names_only(tmp_path):
+    """Not a path of the staging folder a file; what is there already is met in the folders of new files only."""
+    write = lambda names, overwrite=False: (w := N._AudioWriter(f"file:{tmp_path}/out", "int16", ["name", "sample_rate", "channels"], overwrite), w.write(iter([Row(name=n, sample_rate=8000, channels=CHANNELS) for n in names])))
+    w, some = write([f"{i:04}.wav" for i in range(200)])
+    more = w.write(iter([Row(name="d/0000.wav", sample_rate=8000, channels=CHANNELS)]))
+    assert len(pickle.dumps(some)) < 30 * 200
+    w.commit([some, None, more])
+    assert sorted(os.listdir(tmp_path / "out")) == [*(f"{i:04}.wav" for i in range(200)), "d"]
+    for names in (["new.wav", "0007.wav"], ["d/0000.wav"], ["e/1.wav", "e/1.wav"]):
+        w, message = write(names)
+        with pytest.raises(ValueError, match="names are not free"):
+            w.commit([message])
+    w, message = write(["0007.wav", "e/1.wav"], overwrite=True)
+    w.commit([message])
+    assert len(os.listdir(tmp_path / "out")) == 202 and os.listdir(tmp_path / "out" / "e") == ["1.wav"]
+
+
 def test_cache_decodes_only_what_is_new_or_changed(spark, tmp_path):
     wavs(spark, tmp_path / "in", ["a.wav", "b.wav"])
     loader = N.CachedLoader(spark, f"{tmp_path}/cache", lambda content: audio.decoded(content))
