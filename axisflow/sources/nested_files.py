@@ -88,13 +88,15 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contents(leaves: DataFrame) -> DataFrame:
     """(leaf, content) of a table of distinct `leaf`s, paths with or without slices; a file that is not there fails the job.
 
-    Files in folders that driver and executors share are opened by the tasks that hold their leaves. Others, in stores that only Spark
-    reads, come in one scan, whose list of names is the driver's as of any file source.
+    Files in folders that driver and executors share are opened by the tasks that hold their leaves, always as many as Spark shuffles to,
+    for what paths stand for is far more than their bytes, by which Spark joins small partitions. Others, in stores that only Spark reads,
+    come in one scan, whose list of names is the driver's as of any file source.
     """
     spark = leaves.sparkSession
     mounted, rows = _in_folders(spark, F.col("leaf")), leaves.select("leaf", _plain(F.col("leaf")).alias("path"))
     full = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(f"{os.getcwd()}/"), "path"))
-    found = rows.where(mounted).select("leaf", full.alias("file")).sortWithinPartitions("file").mapInArrow(_opened, OPENED)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.where(mounted).select("leaf", full.alias("file")).repartition(tasks, F.xxhash64("leaf")).sortWithinPartitions("file").mapInArrow(_opened, OPENED)
     others = rows.where(~mounted)
     names = [r.path for r in others.select("path").distinct().collect()]
     if not names:

@@ -62,6 +62,13 @@ def test_paths_of_any_name_and_store(spark, tmp_path):
     assert [got[1].channels, got[3].channels] == [[[0.0, 0.0]], [[0.0, 0.5]]]
 
 
+def test_few_bytes_of_paths_are_opened_by_many_tasks(spark, tmp_path):
+    """Also where Spark joins partitions of so few bytes to one."""
+    wavs(spark, tmp_path, [f"{i}.wav" for i in range(64)])
+    paths = spark.range(64).select(F.concat(F.lit(f"{tmp_path}/"), "id", F.lit(".wav")).alias("leaf")).distinct()
+    assert N.contents(paths).select(F.spark_partition_id().alias("task")).distinct().count() == 8
+
+
 def test_blocks_of_contents_are_bounded(tmp_path, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 100)
     for name in "ab":
